@@ -48,9 +48,13 @@ def copies_distribution(rate: float, cap: int) -> list[float]:
     return np.minimum(np.cumsum(p), 1.0).tolist()
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _distribution(rate: pd.Series, cap: pd.Series) -> pd.Series:
-    return pd.Series([copies_distribution(r, int(c)) for r, c in zip(rate, cap, strict=True)])
+#: Factors of the rate that are tried so that the tokens drawn come close to the tokens wanted; the middle one is 1.
+FACTORS = [1.025**k for k in range(-20, 21)]
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def _distributions(rate: pd.Series, cap: pd.Series) -> pd.Series:
+    return pd.Series([[copies_distribution(r * f if r < c else r, int(c)) for f in FACTORS] for r, c in zip(rate, cap, strict=True)])
 
 
 def uniform(*columns: str | Column, seed: int = 0) -> Column:
@@ -76,7 +80,9 @@ def prepare(
     A mixture of `size` tokens (default: all texts together) needs share * size tokens of a source, which has
     available tokens: each of its records is used rate = needed / available times on average, at most `cap` times.
     The number of uses is a Poisson number, inverted at a uniform number hashed from seed and id, cut at the cap; its
-    mean is set so that the cut number has the mean rate. A record gets the same number in every run.
+    mean is set so that the cut number has the mean rate. As few long records can carry a source far from its share,
+    the draw is tried with FACTORS of the rate at the same uniform numbers, in one pass over the sizes, and each
+    source keeps the factor whose tokens come closest to those wanted. A record gets the same number in every run.
 
     Sources are compared without blanks around them and in lower case. Records of other sources and those without
     source aren't used but count in the total. A null or empty text has 0 tokens, is no use and is left out of the
@@ -96,10 +102,20 @@ def prepare(
     )
     most = F.col("max_repeats") * F.col("available")
     plan = plan.withColumns({"reachable": F.col("wanted") <= most, "rate": F.least(F.coalesce(F.try_divide("wanted", "available"), F.lit(0.0)), F.col("max_repeats").cast("double"))})
-    plan = stage(plan.withColumn("cdf", _distribution("rate", "max_repeats")), "plan")
+    plan = stage(plan.withColumn("cdfs", _distributions("rate", "max_repeats")), "plan")
     u = uniform(id_, seed=seed)
+    uses = lambda cdf: F.coalesce(F.size(F.filter(cdf, lambda c: u > c)), F.lit(0))
+    tried = (
+        sized.join(bounded_broadcast(plan.select(F.col("source").alias("__s"), "cdfs")), F.col("source_key") == F.col("__s"))
+        .groupBy("__s")
+        .agg(F.array(*[F.sum(F.col("n_tokens") * uses(F.col("cdfs")[j])) for j in range(len(FACTORS))]).alias("drawn"))
+    )
+    gap = F.transform("drawn", lambda x, i: F.struct(F.abs(x - F.col("wanted")).alias("gap"), F.abs(i - F.lit(len(FACTORS) // 2)).alias("far"), i.alias("i")))
+    chosen = F.coalesce(F.array_min(gap)["i"], F.lit(len(FACTORS) // 2))
+    plan = plan.join(tried, F.col("source") == F.col("__s"), "left").withColumn("cdf", F.col("cdfs")[chosen]).drop("__s", "drawn", "cdfs")
+    plan = stage(plan, "chosen")
     docs = sized.join(bounded_broadcast(plan.select(F.col("source").alias("__s"), "cdf")), F.col("source_key") == F.col("__s"), "left")
-    docs = docs.withColumn("copies", F.coalesce(F.size(F.filter("cdf", lambda c: u > c)), F.lit(0))).drop("cdf", "__s")
+    docs = docs.withColumn("copies", uses(F.col("cdf"))).drop("cdf", "__s")
     return Prepared(docs, plan)
 
 
@@ -110,9 +126,10 @@ def mixture(prepared: Prepared, id_: str, seed: int = 0) -> DataFrame:
 
 
 def share_report(prepared: Prepared) -> DataFrame:
-    """A row for each source of the target: tokens available and wanted, whether they can be reached, tokens and share reached."""
+    """A row for each source of the target: tokens available and wanted, whether they can be reached, tokens and share of all tokens used, and share_of_size, what was used against the size of the whole mixture wanted."""
     used = prepared.docs.where("copies > 0").groupBy("source_key").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("used"), F.sum("copies").alias("uses"))
     joined = prepared.plan.join(used, F.col("source") == F.col("source_key"), "left").drop("source_key", "cdf")
     joined = stage(joined.withColumns({"used": F.coalesce("used", F.lit(0)), "uses": F.coalesce("uses", F.lit(0))}), "report")
     all_used = joined.agg(F.sum("used")).first()[0] or 0
-    return joined.withColumn("actual_share", F.col("used") / F.lit(float(all_used)) if all_used else F.lit(0.0))
+    shares = {"actual_share": F.col("used") / F.lit(float(all_used)) if all_used else F.lit(0.0)}
+    return joined.withColumns(shares | {"share_of_size": F.coalesce(F.try_divide(F.col("used") * F.col("target_share"), "wanted"), F.lit(0.0))})
