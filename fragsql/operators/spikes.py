@@ -140,7 +140,8 @@ def phase_space_faults(
     Each series is seen as points (value, first difference, second difference). A robust ellipsoid holds the points
     of normal behaviour: centre at the median, spread interquartile range / 1.349 (from mergeable quantile sketches
     of the given accuracy), axes in the plane of value and second difference turned by their regression angle, and
-    semi-axes of sqrt(2 ln n) spreads. Points outside are spikes; they are replaced by the mean of the nearest good
+    semi-axes of sqrt(2 ln n) spreads. Points outside are spikes if they bend the series no less than both their
+    neighbours, which a spike drags outside with it; they are replaced by the mean of the nearest good
     readings before and after (the median where the block has none) and the ellipsoids are found again, until no
     new spike appears or after max_iterations. A direction in which a series has no spread isn't judged.
 
@@ -155,6 +156,8 @@ def phase_space_faults(
     for turn in range(max_iterations):
         points = _blocks(series, 10, block)
         points = points.withColumns({"d1": (F.lead("x").over(w) - F.lag("x").over(w)) / 2, "d2": (F.lead("x", 2).over(w) - F.col("x") * 2 + F.lag("x", 2).over(w)) / 4})
+        bend = [F.abs(F.lead("x", 1 + k).over(w) - F.lead("x", k).over(w) * 2 + F.lead("x", k - 1).over(w)) for k in (-1, 0, 1)]
+        points = points.withColumn("peak", F.coalesce(bend[1] >= F.greatest(bend[0], bend[2]), F.lit(True)))
         points = stage(points.where("core").drop("block", "core"), "phase")
         shape = points.groupBy(F.col("src").alias("__src"), F.col("field").alias("__field")).agg(
             *[F.percentile_approx(c, [0.25, 0.5, 0.75], accuracy).alias(f"q_{c}") for c in ("x", "d1", "d2")],
@@ -171,7 +174,7 @@ def phase_space_faults(
         d1, d2 = F.coalesce("d1", F.lit(0.0)), F.coalesce("d2", F.lit(0.0))
         radius = share(dx * cos + d2 * sin, axis(sx, s2)) + share(d1, F.col("s_d1") ** 2) + share(d2 * cos - dx * sin, axis(s2, sx))
         out = F.when(F.col("n") > 1, radius > 2 * F.log(F.col("n").cast("double"))).otherwise(False)
-        judged = at.select("src", "field", "t", "v", "pos", "n", "x", "spike", "cx", (out & ~F.col("spike")).alias("fresh"))
+        judged = at.select("src", "field", "t", "v", "pos", "n", "x", "spike", "cx", (out & F.col("peak") & ~F.col("spike")).alias("fresh"))
         last = turn == max_iterations - 1 or judged.where("fresh").limit(1).count() == 0
         judged = judged.withColumn("spike", F.col("spike") | F.col("fresh"))
         if last:
