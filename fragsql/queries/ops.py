@@ -49,7 +49,7 @@ SAME_SQL = {
       from lineitem group by l_returnflag""",
     "op_stddev": "select l_linestatus, round(stddev(l_quantity), 6) as sd from lineitem group by l_linestatus",
     "op_count_distinct": "select l_returnflag, count(distinct l_suppkey) as suppliers from lineitem group by l_returnflag",
-    "op_conditional_sum": "select o_orderstatus, sum(case when o_orderpriority = '1-URGENT' then 1 else 0 end) as urgent from orders group by o_orderstatus",
+    "op_conditional_sum": "select o_orderstatus, cast(sum(case when o_orderpriority = '1-URGENT' then 1 else 0 end) as bigint) as urgent from orders group by o_orderstatus",
     "op_ratio_of_sums": "select l_linestatus, round(100.0 * sum(l_quantity * l_discount) / sum(l_quantity), 6) as percent from lineitem group by l_linestatus",
     "op_group_by_expression": "select cast(extract(month from l_shipdate) as integer) as m, l_returnflag, l_linestatus, l_linenumber, count(*) as n from lineitem group by 1, 2, 3, 4",
     "op_having_scalar": "select l_suppkey, sum(l_quantity) as q from lineitem group by l_suppkey having sum(l_quantity) > (select 1.2 * sum(l_quantity) / count(distinct l_suppkey) from lineitem)",
