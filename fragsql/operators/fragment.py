@@ -6,6 +6,7 @@ a foreign key is local and every row can still be counted once.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from enum import Enum
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,23 @@ from fragsql.operators.catalog import HIDDEN, SHARD, Catalog, TableSpec
 from fragsql.runtime import stage
 
 
+class Variant(Enum):
+    """Ways to partition that differ in where they keep the foreign key index; results are the same, and spilling is Spark's."""
+
+    NORMAL = "normal"
+    DISTRIBUTED = "dist"
+    IN_MEMORY = "distmm"
+    GRACE = "grace"
+    PARALLEL_GRACE = "pgrace"
+    MULTI_GRACE = "mpgrace"
+
+    @classmethod
+    def of(cls, name: str) -> Variant:
+        """By name in any letter case; `distributed` is dist."""
+        lower = name.lower()
+        return cls("dist" if lower == "distributed" else lower)
+
+
 def route(keys: Sequence[str | Column], shards: int) -> Column:
     """The shard of a key; null if a part of the key is null."""
     cols = [F.col(k) if isinstance(k, str) else k for k in keys]
@@ -84,9 +102,14 @@ def fragment_all(tables: Mapping[str, DataFrame], catalog: Catalog, shards: int)
     return out
 
 
-def save_fragments(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write fragments in one directory per shard, so that a query of a shard reads that directory alone."""
+def save_fragments(df: DataFrame, path: str, mode: str = "errorifexists", expected: int | None = None) -> None:
+    """Write fragments in one directory per shard, so that a query of a shard reads that directory alone.
+
+    If the rows written aren't as many as expected, that is an error.
+    """
     df.write.mode(mode).partitionBy(SHARD).parquet(path)
+    if expected is not None and (written := df.sparkSession.read.parquet(path).count()) != expected:
+        raise ValueError(f"{written} rows were written to {path}, {expected} were expected")
 
 
 def family(df: DataFrame, bits: int) -> DataFrame:

@@ -147,6 +147,15 @@ class KVStore:
         self.create(index)
         self._sorted(self._rows(pairs, index)).write.mode("append").parquet("/".join((self.root, index, "data", self._current(index))))
 
+    def add_records(self, index: str, df: DataFrame, key: Sequence[str]) -> None:
+        """Append whole rows as JSON under the key made of some of their columns, joined with |."""
+        name = F.concat_ws("|", *[F.col(c).cast("string") for c in key])
+        self.add(index, df.select(name.alias("key"), F.to_json(F.struct(*df.columns)).alias("value")))
+
+    def records(self, index: str, schema: str) -> DataFrame:
+        """The rows that add_records stored; a value that isn't such a row gives nulls."""
+        return self.table(index).select(F.from_json(F.col("value").cast("string"), schema).alias("r")).select("r.*")
+
     def put(self, index: str, pairs: DataFrame | Mapping[Bytes, Bytes] | Iterable[tuple[Bytes, Bytes]]) -> None:
         """Replace all values of the given keys; of a key given twice the last value stays."""
         new = self._rows(pairs, index)

@@ -270,3 +270,19 @@ class Processor:
             if c.catalog in self.shuffled:
                 self.shuffled[c.catalog].createOrReplaceTempView(view)
             return run_script(self.spark, c.body.replace(SOURCE, f"`{view}`"))
+
+    # what a remote client may ask for
+
+    def partitions(self, catalog: str = DEFAULT) -> list[configs.Partition]:
+        return list(self.module(catalog).partitions)
+
+    def delete_catalog(self, catalog: str) -> bool:
+        """False if there was none."""
+        self.shuffled.pop(catalog, None)
+        return self.catalogs.pop(catalog, None) is not None
+
+    def execute_query(self, sql: str) -> DataFrame | None:
+        return self._script(sql)
+
+    def execute_command(self, command: Command) -> DataFrame | None:
+        return self.run([command])[-1][1]

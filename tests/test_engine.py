@@ -127,12 +127,20 @@ def test_fragment_needs_referencing_tables_first(spark):
 def test_saved_fragments_are_pruned(spark, data, tmp_path):
     parts = tpch.fragments(spark, data)
     fr.save_fragments(parts["orders"], str(tmp_path / "orders"))
+    with pytest.raises(ValueError):
+        fr.save_fragments(parts["nation"], str(tmp_path / "nation"), expected=1)
     back = spark.read.parquet(str(tmp_path / "orders"))
     assert back.count() == parts["orders"].count()
     plan = back.where(f"{SHARD} = 1")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(_shard" in plan
 
 
+def test_variants():
+    assert fr.Variant.of("GRACE") is fr.Variant.GRACE and fr.Variant.of("distributed") is fr.Variant.DISTRIBUTED and fr.Variant.of("MPgrace") is fr.Variant.MULTI_GRACE
+    with pytest.raises(ValueError):
+        fr.Variant.of("none")
+
+
 def test_shard_stats(spark):
     df = spark.createDataFrame([(0,)] * 4 + [(1,)] * 3, f"{SHARD} int")
     r = fr.shard_stats(df, 3).first()

@@ -10,9 +10,11 @@ from pyspark.sql import types as T
 from fragsql.functions import hashes, text
 from fragsql.operators import kmeans, mapreduce
 from fragsql.operators.kv import KVStore, predicate
+from fragsql.operators.ring import Ring
 from fragsql.plans import cli, flow
 from fragsql.plans.twophase import map_phase
 from fragsql.sources import configs, csvio, generators
+from fragsql.sources.records import RecordSource
 from fragsql.streaming.counts import partial_counts, total_counts, windowed_counts
 
 # -- key-value store --------------------------------------------------------------------------------------------------
@@ -39,6 +41,34 @@ def test_store(spark, tmp_path):
     assert kv.names() == []
 
 
+def test_records_in_a_store(spark, tmp_path):
+    kv = KVStore(spark, str(tmp_path / "kv"))
+    df = spark.createDataFrame([(1, "x", 2.5), (2, None, None)], "a int, b string, c double")
+    kv.add_records("r", df, ["a", "b"])
+    assert {bytes(r["key"]) for r in kv.table("r").collect()} == {b"1|x", b"2"}
+    assert sorted(kv.records("r", "a int, b string, c double").collect()) == sorted(df.collect())
+
+
+def test_ring(spark):
+    ring = Ring(["a", "b", "c", "d"])
+    keys = [f"k{i}" for i in range(4000)]
+    sizes = Counter(map(ring.node, keys))
+    assert len(sizes) == 4 and hashes.load_balance(list(sizes.values())) < 25
+    fewer = Ring(["a", "b", "c"])
+    assert all(ring.node(k) == fewer.node(k) for k in keys if ring.node(k) != "d")
+    assert ring.successors("k", 3)[0] == ring.node("k") and len(set(ring.successors("k", 9))) == 4 and len(ring.successors("k", 9, physical=False)) == 9
+    got = spark.createDataFrame([("k1",), (None,)], "k string").select(ring.column("k").alias("n")).collect()
+    assert [r["n"] for r in got] == [ring.node("k1"), None]
+    with pytest.raises(ValueError):
+        Ring([])
+
+
+def test_record_source(spark):
+    spark.dataSource.register(RecordSource)
+    df = spark.read.format("fragsql_records").schema("n long").option("reader", "fragsql.sources.records:numbers").option("splits", 3).option("rows", 4).load()
+    assert sorted(r["n"] for r in df.collect()) == list(range(12)) and df.rdd.getNumPartitions() == 3
+
+
 def test_predicates(spark):
     keys = [b"", b"a", b"ab", b"b", b"\x7f", b"\x80", b"\xff", b"\xff\xff"]
     df = spark.createDataFrame([(bytearray(k),) for k in keys], "key binary")
@@ -268,9 +298,12 @@ def test_flow_runs(spark, data, tmp_path):
     assert {r[0]: r[1] for r in by_kind["reduce"].collect()} == want
     assert by_kind["map-and-shuffle"].rdd.getNumPartitions() == 2 and by_kind["map"].count() == 1
     assert p.variables["v"].result()[0].first()["n"] > 0
+    assert len(p.partitions()) == 3 and p.execute_query("select 1 as x").first()["x"] == 1
+    assert p.execute_command(flow.Command("map", "select 2 as x")).first()["x"] == 2
     for bad in ("reduce at nobody { select 1 };", "sync $none;"):
         with pytest.raises(flow.FlowError):
             p.run(bad)
+    assert p.delete_catalog("default") and not p.delete_catalog("none")
 
 
 def test_map_phase_without_shards(spark):
