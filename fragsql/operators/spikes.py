@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,6 +123,49 @@ def measurement_faults(
     return out.withColumnRenamed("id", id_)
 
 
+def phase_space_spikes(v: np.ndarray, max_iterations: int = 10) -> np.ndarray:
+    """Which readings of one series are spikes, by robust ellipsoids in phase space.
+
+    A reading is a point (value, first difference, second difference). The ellipsoid of normal behaviour has its
+    centre at the median, its spreads are interquartile ranges / 1.349, its axes in the plane of value and second
+    difference are turned by their regression angle, its semi-axes are sqrt(2 ln n) spreads. A point outside is a
+    spike if it bends the series no less than both its neighbours, which a spike drags outside with it. Spikes are
+    replaced by a line between the good readings around them and the ellipsoid is found again, until no new spike
+    appears or after max_iterations. A direction in which the series has no spread isn't judged.
+    """
+    n, spike = len(v), np.zeros(len(v), bool)
+    x = v.astype(np.float64)
+    if n < 5:
+        return spike
+    for _ in range(max_iterations):
+        d1, d2, bend = np.zeros(n), np.zeros(n), np.full(n, -np.inf)
+        d1[1:-1] = (x[2:] - x[:-2]) / 2
+        d2[2:-2] = (x[4:] - 2 * x[2:-2] + x[:-4]) / 4
+        bend[1:-1] = np.abs(x[2:] - 2 * x[1:-1] + x[:-2])
+        low, mid, high = np.percentile(np.stack([x, d1, d2]), [25, 50, 75], axis=1)
+        sx, s1, s2 = ((high - low) / 1.349) ** 2
+        dx, var = x - mid[0], x.var()
+        angle = np.arctan(np.cov(x, d2, bias=True)[0, 1] / var) if var > 0 else 0.0
+        cos, sin = np.cos(angle), np.sin(angle)
+        det = cos**4 - sin**4
+        a, b = ((sx * cos**2 - s2 * sin**2) / det, (s2 * cos**2 - sx * sin**2) / det) if abs(det) > 1e-9 else (sx, s2)
+        radius = np.zeros(n)
+        for y, s in ((dx * cos + d2 * sin, a), (d1, s1), (d2 * cos - dx * sin, b)):
+            if s > 0:
+                radius += y**2 / s
+        around = np.pad(bend, 1, constant_values=-np.inf)
+        fresh = (radius > 2 * np.log(n)) & ~spike & (bend >= np.maximum(around[:-2], around[2:]))
+        if not fresh.any():
+            break
+        spike |= fresh
+        good = np.flatnonzero(~spike)
+        if not len(good):
+            break
+        at = np.flatnonzero(spike)
+        x[at] = np.interp(at, good, v[good])
+    return spike
+
+
 def phase_space_faults(
     df: DataFrame,
     id_: str,
@@ -131,62 +176,32 @@ def phase_space_faults(
     low: float = 0.0,
     high: float = 1.0,
     still: int = 10,
-    max_iterations: int = 6,
-    accuracy: int = 2000,
-    block: int = BLOCK,
+    max_iterations: int = 10,
+    block: int = 2 * BLOCK,
+    context: int = BLOCK // 2,
 ) -> DataFrame:
     """id, field, fault with spikes found by phase-space thresholding; clock, impossible and still as above.
 
-    Each series is seen as points (value, first difference, second difference). A robust ellipsoid holds the points
-    of normal behaviour: centre at the median, spread interquartile range / 1.349 (from mergeable quantile sketches
-    of the given accuracy), axes in the plane of value and second difference turned by their regression angle, and
-    semi-axes of sqrt(2 ln n) spreads. Points outside are spikes if they bend the series no less than both their
-    neighbours, which a spike drags outside with it; they are replaced by the mean of the nearest good
-    readings before and after (the median where the block has none) and the ellipsoids are found again, until no
-    new spike appears or after max_iterations. A direction in which a series has no spread isn't judged.
+    The ellipsoids are those of a block of readings and `context` readings on either side, a source's normal behaviour
+    at that time; a series of up to `block` readings is one block. Zero-difference runs are `still`.
 
     Nulls, repeated readings, an empty df and other columns are treated as in measurement_faults.
     """
     clock = clock_fault(df, time, seen) if seen else F.lit(False)
     good = df.where(~clock)
-    w = Window.partitionBy("src", "field", "block").orderBy("pos")
-    series = _series(good, source, time, fields, low, high).withColumns({"x": F.col("v"), "spike": F.lit(False)})
-    centre = lambda c: F.element_at(f"q_{c}", 2)
-    spread = lambda c: (F.element_at(f"q_{c}", 3) - F.element_at(f"q_{c}", 1)) / F.lit(1.349)
-    for turn in range(max_iterations):
-        points = _blocks(series, 10, block)
-        points = points.withColumns({"d1": (F.lead("x").over(w) - F.lag("x").over(w)) / 2, "d2": (F.lead("x", 2).over(w) - F.col("x") * 2 + F.lag("x", 2).over(w)) / 4})
-        bend = [F.abs(F.lead("x", 1 + k).over(w) - F.lead("x", k).over(w) * 2 + F.lead("x", k - 1).over(w)) for k in (-1, 0, 1)]
-        points = points.withColumn("peak", F.coalesce(bend[1] >= F.greatest(bend[0], bend[2]), F.lit(True)))
-        points = stage(points.where("core").drop("block", "core"), "phase")
-        shape = points.groupBy(F.col("src").alias("__src"), F.col("field").alias("__field")).agg(
-            *[F.percentile_approx(c, [0.25, 0.5, 0.75], accuracy).alias(f"q_{c}") for c in ("x", "d1", "d2")],
-            F.covar_pop("x", "d2").alias("cov"),
-            F.var_pop("x").alias("var"),
-        )
-        shape = shape.select("__src", "__field", centre("x").alias("cx"), F.coalesce(F.atan(F.try_divide("cov", "var")), F.lit(0.0)).alias("turn"), *[spread(c).alias(f"s_{c}") for c in ("x", "d1", "d2")])
-        at = points.join(bounded_broadcast(stage(shape, "shape")), F.col("src").eqNullSafe(F.col("__src")) & (F.col("field") == F.col("__field")), "left")
-        cos, sin, dx = F.cos("turn"), F.sin("turn"), F.col("x") - F.col("cx")
-        det = cos**4 - sin**4
-        sx, s2 = F.col("s_x") ** 2, F.col("s_d2") ** 2
-        axis = lambda a, b: F.when(F.abs(det) > 1e-9, F.try_divide(a * cos**2 - b * sin**2, det)).otherwise(a)
-        share = lambda y, s: F.when(s > 0, y**2 / s).otherwise(0.0)
-        d1, d2 = F.coalesce("d1", F.lit(0.0)), F.coalesce("d2", F.lit(0.0))
-        radius = share(dx * cos + d2 * sin, axis(sx, s2)) + share(d1, F.col("s_d1") ** 2) + share(d2 * cos - dx * sin, axis(s2, sx))
-        out = F.when(F.col("n") > 1, radius > 2 * F.log(F.col("n").cast("double"))).otherwise(False)
-        judged = at.select("src", "field", "t", "v", "pos", "n", "x", "spike", "cx", (out & F.col("peak") & ~F.col("spike")).alias("fresh"))
-        last = turn == max_iterations - 1 or judged.where("fresh").limit(1).count() == 0
-        judged = judged.withColumn("spike", F.col("spike") | F.col("fresh"))
-        if last:
-            break
-        calm = F.when(~F.col("spike"), F.col("v"))
-        near = _blocks(judged, 10, block)
-        near = near.withColumns({"__b": F.last(calm, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "__f": F.first(calm, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))})
-        filled = F.coalesce((F.col("__b") + F.col("__f")) / 2, "__b", "__f", "cx")
-        series = near.where("core").select("src", "field", "t", "v", "pos", "n", F.when(F.col("spike"), filled).otherwise(F.col("v")).alias("x"), "spike")
-    work = _blocks(judged.select("src", "field", "t", "v", "pos", "spike"), still, block)
-    for name, col in _standing(w, at_least=still):
-        work = work.withColumn(name, col)
-    flagged = work.where("core").select("src", "field", "t", F.when(F.col("still"), "still").when(F.col("spike"), "spike").alias("fault")).where(F.col("fault").isNotNull())
+    work = _blocks(_series(good, source, time, fields, low, high), max(context, still), block).select("src", "field", "block", "t", "v", "pos", "core")
+
+    def judge(part: pa.Table) -> pa.Table:
+        part = part.sort_by("pos")
+        v = part["v"].to_numpy()
+        begins = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+        runs = np.diff(np.append(begins, len(v)))
+        stuck = (np.repeat(runs, runs) >= still) & (v != 0)
+        fault = np.where(stuck, "still", np.where(phase_space_spikes(v, max_iterations), "spike", ""))
+        keep = part["core"].to_numpy(zero_copy_only=False) & (fault != "")
+        return part.append_column("fault", pa.array(fault.tolist(), pa.string())).filter(pa.array(keep)).select(["src", "field", "t", "fault"])
+
+    kind = dict(work.dtypes)
+    flagged = work.groupBy("src", "field", "block").applyInArrow(judge, f"src {kind['src']}, field string, t {kind['t']}, fault string")
     out = _row_faults(df, id_, clock, fields, time, low, high).unionAll(_spread_to_rows(good, flagged, id_, source, time, fields))
     return out.withColumnRenamed("id", id_)

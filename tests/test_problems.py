@@ -4,6 +4,7 @@ import math
 import random
 from statistics import median
 
+import numpy as np
 import pytest
 from conftest import same
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from fragsql.operators.eager_join import eager_join_aggregate
 from fragsql.operators.positions import exact_median, with_positions
 from fragsql.operators.rolling import rolling_totals
-from fragsql.operators.spikes import clock_fault, measurement_faults, phase_space_faults
+from fragsql.operators.spikes import clock_fault, measurement_faults, phase_space_faults, phase_space_spikes
 from fragsql.queries import problems
 
 
@@ -145,6 +146,15 @@ def test_clock_faults_and_empty(spark):
         assert f(df.where("false"), "id", "s", "t", ["v"], "c").count() == 0
 
 
+def test_phase_space_of_short_and_flat_series():
+    for v in ([], [1.0], [0.5] * 40, [0.0, 1.0, 0.0, 1.0]):
+        assert not phase_space_spikes(np.array(v)).any()
+    noise = np.random.default_rng(1).normal(0.3, 0.01, 2000)
+    assert phase_space_spikes(noise).sum() <= 6
+    noise[[3, 700, 701, 1999]] = 0.9
+    assert set(np.flatnonzero(phase_space_spikes(noise))) >= {3, 700, 701}
+
+
 def test_phase_space_finds_planted_spikes(spark):
     rnd = random.Random(5)
     rows, spikes = [], set()
@@ -156,7 +166,7 @@ def test_phase_space_finds_planted_spikes(spark):
             rows.append((len(rows), src, t, v))
     rows += [(len(rows) + k, "zero", k, 0.0) for k in range(50)] + [(9000 + k, "stuck", k, 0.5) for k in range(20)] + [(9100, "stuck", 30, 7.0)]
     df = spark.createDataFrame(rows, "id long, s string, t long, v double")
-    got = phase_space_faults(df, "id", "s", "t", ["v"], block=256).collect()
+    got = phase_space_faults(df, "id", "s", "t", ["v"], block=512, context=128).collect()
     at = {r[0]: (r[1], r[2]) for r in rows}
     found = {at[r["id"]] for r in got if r["fault"] == "spike"}
     assert spikes <= found and len(found - spikes) <= 6
