@@ -187,10 +187,16 @@ class KVStore:
     def get(self, index: str, key: Bytes) -> list[bytes]:
         return [bytes(r["value"]) for r in self.exact_search(index, key).collect()]
 
+    def multi_get_rows(self, index: str, keys: Sequence[Bytes] | DataFrame) -> DataFrame:
+        """key, value, seq of the given keys, a row for each value: the form for keys with very many values."""
+        t = self.table(index)
+        if isinstance(keys, DataFrame):
+            return t.join(keys.select("key").distinct(), "key", "left_semi")
+        return t.where(predicate("in", *keys))
+
     def multi_get(self, index: str, keys: Sequence[Bytes] | DataFrame) -> DataFrame:
         """key, values (in order of adding) of the given keys; keys without values have no row."""
-        t = self.table(index)
-        found = t.join(keys.select("key").distinct(), "key", "left_semi") if isinstance(keys, DataFrame) else t.where(predicate("in", *keys))
+        found = self.multi_get_rows(index, keys)
         return found.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda s: s["value"]).alias("values"))
 
     # the two commands of the cache protocol's gateway
