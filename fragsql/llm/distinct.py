@@ -21,9 +21,15 @@ RANKS = 48
 
 
 def build(df: DataFrame, groups: Sequence[str], value: str, rows: int = ROWS) -> DataFrame:
-    """groups, cell (matrix row), bits, records. Null values are left out; null groups form groups of their own."""
+    """groups, cell (matrix row), bits, records: the sketch of each group.
+
+    Null values are left out; null groups form groups of their own; the empty text is a value; repeated rows add to
+    records alone. An empty df gives an empty sketch. Other columns are ignored, whatever their names.
+    """
     if rows & (rows - 1) or not 2 <= rows <= 1 << 15:
         raise ValueError("rows must be a power of two from 2 to 32768")
+    if {"cell", "bits", "records"} & set(groups):
+        raise ValueError("groups can't be called cell, bits or records")
     shift = rows.bit_length() - 1
     h = F.xxhash64(value)
     rest = F.shiftrightunsigned(h, shift).bitwiseOR(F.lit(1 << (RANKS - 1)))

@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 
 from fragsql.runtime import bounded_broadcast, stage
 
-CHUNK_BYTES = 1 << 28
+#: A node also ends when its values take so many bytes.
+CHUNK_BYTES = 1 << 27
 
 
 def _local_counts(batches: Iterator[pa.RecordBatch], chunk_rows: int) -> Iterator[tuple[int, pa.Table]]:
@@ -52,7 +53,8 @@ def frequent_items(df: DataFrame, column: str, k: int = 100, min_share: Fraction
 
     Counts are exact. A null is a value like any other (it ranks last of equal ones). Repeated rows count as often as
     they occur. An empty df gives no rows; with fewer than k different values all come out. min_share may let fewer
-    than k values through, never more. Other columns are ignored, whatever their names.
+    than k values through, never more. Other columns are ignored, whatever their names. A column called n or rank
+    comes out as value.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -93,4 +95,4 @@ def frequent_items(df: DataFrame, column: str, k: int = 100, min_share: Fraction
     best = exact.where(F.col("n") >= wanted).orderBy(F.col("n").desc(), F.col("v").asc_nulls_last()).limit(k)
     # k rows at most are left
     ranked = best.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col("v").isNull().alias("last"), "v"))).alias("all"))
-    return ranked.select(F.posexplode("all").alias("i", "r")).select(F.col("r.v").alias(column), (-F.col("r.m")).alias("n"), (F.col("i") + 1).alias("rank"))
+    return ranked.select(F.posexplode("all").alias("i", "r")).select(F.col("r.v").alias("value" if column in ("n", "rank") else column), (-F.col("r.m")).alias("n"), (F.col("i") + 1).alias("rank"))

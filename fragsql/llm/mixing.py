@@ -15,7 +15,7 @@ from fragsql.runtime import bounded_broadcast, stage
 
 
 class Prepared(NamedTuple):
-    docs: DataFrame  # the records with n_tokens, source_key and copies
+    docs: DataFrame  # id, source_key, n_tokens, copies and record, a struct of all columns (without the text, if not kept)
     plan: DataFrame  # a row for each source of the target
 
 
@@ -88,10 +88,11 @@ def prepare(
     source aren't used but count in the total. A null or empty text has 0 tokens, is no use and is left out of the
     mixture only if its draw says so, like any record. A null share or cap counts as 0; of repeated rows of a source
     in the target, the one with the largest share counts. Rows with the same id are used equally often. Empty tables
-    give empty results. df must not have the columns n_tokens, source_key, copies, rate and cdf.
+    give empty results. Columns of df come back in a struct, so that their names can't clash.
     """
-    sized = df.withColumns({"n_tokens": token_count(text, vocabulary), "source_key": source_key(source)})
-    sized = stage(sized if keep_text else sized.drop(text), "sized")
+    record = F.struct(*[F.col(c) for c in df.columns if keep_text or c != text])
+    sized = df.select(F.col(id_).alias("id"), source_key(source).alias("source_key"), token_count(text, vocabulary).alias("n_tokens"), record.alias("record"))
+    sized = stage(sized, "sized")
     by_source = stage(sized.groupBy("source_key").agg(F.sum("n_tokens").alias("available"), F.count(F.lit(1)).alias("records")), "sources")
     total = size if size is not None else by_source.agg(F.sum("available")).first()[0] or 0
     wanted = target.where(F.col(source).isNotNull()).groupBy(source_key(source).alias("source")).agg(F.max(F.struct(F.coalesce(share, F.lit(0.0)).alias("s"), F.coalesce(cap, F.lit(0)).alias("c"))).alias("w"))
@@ -103,7 +104,7 @@ def prepare(
     most = F.col("max_repeats") * F.col("available")
     plan = plan.withColumns({"reachable": F.col("wanted") <= most, "rate": F.least(F.coalesce(F.try_divide("wanted", "available"), F.lit(0.0)), F.col("max_repeats").cast("double"))})
     plan = stage(plan.withColumn("cdfs", _distributions("rate", "max_repeats")), "plan")
-    u = uniform(id_, seed=seed)
+    u = uniform("id", seed=seed)
     uses = lambda cdf: F.coalesce(F.size(F.filter(cdf, lambda c: u > c)), F.lit(0))
     tried = (
         sized.join(bounded_broadcast(plan.select(F.col("source").alias("__s"), "cdfs")), F.col("source_key") == F.col("__s"))
@@ -119,10 +120,10 @@ def prepare(
     return Prepared(docs, plan)
 
 
-def mixture(prepared: Prepared, id_: str, seed: int = 0) -> DataFrame:
+def mixture(prepared: Prepared, seed: int = 0) -> DataFrame:
     """The records, each as often as it is used (copy, from 1), in a global random order given by the column place."""
     out = prepared.docs.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.withColumn("place", F.xxhash64(F.lit(seed + 1), id_, "copy")).orderBy("place", id_, "copy")
+    return out.withColumn("place", F.xxhash64(F.lit(seed + 1), "id", "copy")).orderBy("place", "id", "copy")
 
 
 def share_report(prepared: Prepared) -> DataFrame:

@@ -95,7 +95,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixture(_prepared(spark, d, keep_text=True), "doc_id").select("place", "doc_id", "copy", "source_key", "n_tokens", "text")
+    return mixing.mixture(_prepared(spark, d, keep_text=True)).select("place", "record.doc_id", "copy", "source_key", "n_tokens", "record.text")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

@@ -23,7 +23,7 @@ def top_n_per_group(
     df: DataFrame,
     groups: Sequence[str],
     score: str,
-    ties: Sequence[str | Column],
+    ties: Sequence[str],
     n: int,
     min_items: int = 1,
     large: int = 1000,
@@ -39,29 +39,36 @@ def top_n_per_group(
 
     Null scores rank last, NaN first; a null group value forms a group; null tie keys go first. Rows equal in score
     and ties are all kept apart and get different ranks, in any order. An empty df gives no rows. All columns of df
-    stay, except that df must not have the names rank, __bucket and __g0, __g1 ...
+    stay, whatever their names; if one of them is called like `rank`, the rank's name gets underscores until it
+    differs.
     """
     if n < 1 or min_items < 1:
         raise ValueError("n and min_items must be at least 1")
-    keep = max(n, min_items)
-    items = df.withColumn("__bucket", score_bucket(F.col(score)))
-    counts = items.groupBy(*groups, "__bucket").agg(F.count(F.lit(1)).alias("__c"))
-    w = Window.partitionBy(*groups)
-    above = F.sum("__c").over(w.orderBy(F.col("__bucket").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    names, keep = df.columns, max(n, min_items)
+    # names of our own within, so that no column of df can clash
+    inner = {c: f"c{i}" for i, c in enumerate(names)}
+    rows = df.toDF(*inner.values())
+    keys, value = [inner[g] for g in groups], inner[score]
+    items = rows.withColumn("bucket", score_bucket(F.col(value)))
+    counts = items.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("m"))
+    w = Window.partitionBy(*keys)
+    above = F.sum("m").over(w.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, 0))
     limits = (
-        counts.withColumn("__above", above)
-        .groupBy(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)])
-        .agg(F.max(F.when(F.col("__above") >= keep, F.col("__bucket"))).alias("__least"), F.sum("__c").alias("__items"))
+        counts.withColumn("above", above)
+        .groupBy(*[F.col(g).alias(f"g{i}") for i, g in enumerate(keys)])
+        .agg(F.max(F.when(F.col("above") >= keep, F.col("bucket"))).alias("least"), F.sum("m").alias("items"))
     )
     # sizes add up to the number of items: at most MOST_LARGE groups can each hold more than 1/MOST_LARGE of them
-    share = counts.agg((F.sum("__c") / F.lit(MOST_LARGE)).alias("s")).scalar()
-    big = F.broadcast(limits.where((F.col("__items") > large) & (F.col("__items") > share)))
+    share = counts.agg((F.sum("m") / F.lit(MOST_LARGE)).alias("s")).scalar()
+    big = F.broadcast(limits.where((F.col("items") > large) & (F.col("items") > share)))
     on = F.lit(True)
-    for i, g in enumerate(groups):
-        on &= F.col(g).eqNullSafe(F.col(f"__g{i}"))
-    left = items.join(big, on, "left").where(F.col("__least").isNull() | (F.col("__bucket") >= F.col("__least"))).select(*df.columns)
-    order = [F.col(score).desc_nulls_last(), *[F.col(t).asc() if isinstance(t, str) else t for t in ties]]
-    best = left.withColumn(rank, F.row_number().over(w.orderBy(*order))).where(F.col(rank) <= keep)
+    for i, g in enumerate(keys):
+        on &= F.col(g).eqNullSafe(F.col(f"g{i}"))
+    left = items.join(big, on, "left").where(F.col("least").isNull() | (F.col("bucket") >= F.col("least"))).select(*rows.columns)
+    order = [F.col(value).desc_nulls_last(), *[F.col(inner[t]).asc() for t in ties]]
+    best = left.withColumn("place", F.row_number().over(w.orderBy(*order))).where(F.col("place") <= keep)
     if min_items > 1:
-        best = best.withColumn("__most", F.max(rank).over(w)).where(F.col("__most") >= min_items).drop("__most")
-    return best.where(F.col(rank) <= n)
+        best = best.withColumn("most", F.max("place").over(w)).where(F.col("most") >= min_items).drop("most")
+    while rank in names:
+        rank += "_"
+    return best.where(F.col("place") <= n).toDF(*names, rank)

@@ -48,8 +48,9 @@ def test_frequent_edges(spark):
     got = [(r["v"], r["n"]) for r in frequent_items(df, "v", 9).orderBy("rank").collect()]
     assert got == [("", 2), ("x" * 100_000, 1), (None, 1)]
     assert frequent_items(df.where("false"), "v", 3).count() == 0
-    numbers = spark.range(100).select((F.col("id") % 3).alias("rank"))
-    assert [tuple(r) for r in frequent_items(numbers.withColumnRenamed("rank", "w"), "w", 1).collect()] == [(0, 34, 1)]
+    numbers = spark.range(100).select((F.col("id") % 3).alias("rank"), F.lit(1).alias("n"))
+    got = frequent_items(numbers, "rank", 1)
+    assert got.columns == ["value", "n", "rank"] and [tuple(r) for r in got.collect()] == [(0, 34, 1)]
     with pytest.raises(ValueError):
         frequent_items(df, "v", 0)
 
@@ -95,6 +96,8 @@ def test_top_n_edges(spark):
     got = sorted((r["g"], r["rank"], r["extra"]) for r in top_n_per_group(df, ["g"], "s", ["i", "extra"], 5).collect())
     assert got == [("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")]
     assert top_n_per_group(df.where("false"), ["g"], "s", ["i"], 3).count() == 0
+    odd = df.withColumnsRenamed({"extra": "rank", "i": "bucket"}).withColumn("c0", F.lit(7))
+    assert top_n_per_group(odd, ["g"], "s", ["rank"], 1).columns == ["g", "bucket", "s", "rank", "c0", "rank_"]
     one = top_n_per_group(df, [], "s", ["i"], 1).collect()
     assert len(one) == 1 and one[0]["s"] == 5
 

@@ -109,7 +109,8 @@ def docs_frame(spark, n=4000):
     for i in range(n):
         source = rnd.choice(["big"] * 12 + ["Mid ", " MID"] * 2 + ["tiny", None, "other"])
         rows.append((i, source, None if i % 97 == 0 else "word " * rnd.randrange(1, 30)))
-    return spark.createDataFrame(rows, "id long, source string, text string").repartition(4)
+    df = spark.createDataFrame(rows, "id long, source string, text string").repartition(4)
+    return df.withColumns({"copies": F.lit("extra"), "n_tokens": F.lit(-1), "cdf": F.lit(None)})
 
 
 def test_mixture_reaches_its_shares(spark):
@@ -123,23 +124,24 @@ def test_mixture_reaches_its_shares(spark):
         assert abs(report[s]["used"] - report[s]["wanted"]) < 0.02 * report[s]["wanted"]
     assert report["tiny"]["used"] == 2 * report["tiny"]["available"] and report["absent"]["used"] == 0
     assert sum(r["actual_share"] for r in report.values()) == pytest.approx(1)
-    rows = mixing.mixture(prepared, "id").select("id", "copy", "copies", "source_key", "place").collect()
+    rows = mixing.mixture(prepared).select("id", "copy", "copies", "source_key", "place").collect()
     most = Counter(r["id"] for r in rows)
     cap = {"big": 2, "mid": 3, "tiny": 2}
     assert all(most[r["id"]] == r["copies"] <= cap[r["source_key"]] for r in rows)
     assert [r["place"] for r in rows] == sorted(r["place"] for r in rows)
-    again = mixing.mixture(mixing.prepare(df.repartition(7), target, "id", "text"), "id").select("id", "copy", "copies", "source_key", "place").collect()
+    again = mixing.mixture(mixing.prepare(df.repartition(7), target, "id", "text")).select("id", "copy", "copies", "source_key", "place").collect()
     assert again == rows
+    assert mixing.mixture(prepared).select("record.*").columns == df.columns
 
 
 def test_mixture_edges(spark):
     target = spark.createDataFrame([("a", 1.0, 2), ("b", None, None)], "source string, target_share double, max_repeats int")
     none = docs_frame(spark, 1).where("false")
     p = mixing.prepare(none, target, "id", "text")
-    assert mixing.mixture(p, "id").count() == 0
+    assert mixing.mixture(p).count() == 0
     assert {r["source"]: r["used"] for r in mixing.share_report(p).collect()} == {"a": 0, "b": 0}
     p = mixing.prepare(docs_frame(spark, 50), target.where("false"), "id", "text", keep_text=False)
-    assert mixing.share_report(p).count() == 0 and mixing.mixture(p, "id").count() == 0
+    assert mixing.share_report(p).count() == 0 and mixing.mixture(p).count() == 0
 
 
 def test_mix_found(spark, data):
