@@ -16,8 +16,11 @@ def with_positions(df: DataFrame, groups: Sequence[str], order: Sequence[str], p
     One range shuffle by groups and order cuts even a single huge group into many partitions. The sorted rows are
     staged with a row number, the few (group, partition) counts give each partition's offset, and a row's position
     is that offset plus its place in the partition. Rows equal in groups and order get positions in any order.
-    Nulls sort first and form groups of their own. An empty df gives no rows.
+    Nulls sort first and form groups of their own. Repeated rows each get a position. An empty df gives no rows.
+    Columns of df keep their names, but none may be called pos, total or begin with two underscores.
     """
+    if clash := [c for c in df.columns if c in (pos, total) or c.startswith("__")]:
+        raise ValueError(f"columns can't be called {', '.join(clash)}")
     keys = [*groups, *order]
     sorted_ = stage(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__mid", F.monotonically_increasing_id()), "sorted")
     part = F.shiftright(F.col("__mid"), 33)

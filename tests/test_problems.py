@@ -73,6 +73,8 @@ def test_positions_and_median(spark, seed):
     meds = {r["g"]: r["median"] for r in exact_median(df, ["g"], "v").collect()}
     assert meds == {g: median(v for x, _, v in rows if x == g) for g in ("hot", "b", None)}
     assert with_positions(df.where("false"), ["g"], ["t"]).count() == 0
+    with pytest.raises(ValueError):
+        with_positions(df.withColumnRenamed("v", "pos"), ["g"], ["t"])
 
 
 def brute_faults(rows):
