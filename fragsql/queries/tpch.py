@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from fragsql.operators.catalog import Catalog, TableSpec
 from fragsql.operators.fragment import fragment_all
 from fragsql.plans.twophase import execute, run_script
-from fragsql.runtime import table
+from fragsql.runtime import releases, table
 
 PARTSUPP = """select l_partkey as ps_partkey, l_suppkey as ps_suppkey, cast(sum(l_quantity) as double) as ps_availqty,
   min(l_extendedprice / l_quantity) as ps_supplycost from lineitem group by l_partkey, l_suppkey"""
@@ -332,12 +332,12 @@ from <src> group by l_returnflag, l_linestatus order by l_returnflag, l_linestat
 }
 
 SHARDS = 3
-_fragments: dict[tuple[str, str, int], dict[str, DataFrame]] = {}
+_fragments: dict[tuple[str, str, int, int], dict[str, DataFrame]] = {}
 
 
 def fragments(spark: SparkSession, d: str, shards: int = SHARDS) -> dict[str, DataFrame]:
     """The tables of d in fragments, staged once for a session."""
-    key = (spark.sparkContext.applicationId, d, shards)
+    key = (spark.sparkContext.applicationId, d, shards, len(releases))
     if key not in _fragments:
         _fragments[key] = fragment_all(tables(spark, d), catalog(), shards)
     return _fragments[key]

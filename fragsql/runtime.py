@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 _staged: list[tuple[SparkSession, str]] = []
+#: How many tables each call of release_staged() had to delete.
+releases: list[int] = []
 
 
 def session(app: str = "fragsql", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -32,7 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="fragsql-")
+        folder = tempfile.mkdtemp(prefix="fragsql-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -51,6 +56,7 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
 
 def release_staged() -> None:
     """Delete every staged table. DataFrames that still read one fail afterwards."""
+    releases.append(len(_staged))
     while _staged:
         spark, path = _staged.pop()
         try:

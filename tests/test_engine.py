@@ -4,15 +4,18 @@ import random
 
 import pytest
 from conftest import same
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fragsql.operators import fragment as fr
 from fragsql.operators.catalog import HIDDEN, SHARD, Catalog, NodeState, TableSpec
 from fragsql.plans.dialect import normalise
 from fragsql.plans.keyed import rewrite
-from fragsql.plans.script import first_select, index_of_select, split_script, validate_script
+from fragsql.plans.script import first_select, index_of_select, split_script, tokens, validate_script
 from fragsql.plans.twophase import Output, execute
 from fragsql.queries import ops, tpch
+from fragsql.runtime import bounded_broadcast, release_staged, stage
 
 # -- scripts ----------------------------------------------------------------------------------------------------------
 
@@ -25,6 +28,12 @@ def test_split():
     assert split_script("select 'it''s; fine'; select 'open; end") == ["select 'it''s; fine'", "select 'open; end"]
 
 
+@given(st.text(alphabet="ab ;'\"`-/*\n.", max_size=30))
+def test_pieces_join_to_the_text(sql):
+    assert "".join(text for _, text in tokens(sql)) == sql
+    assert "".join(split_script(sql)).replace(";", "").replace(" ", "").count("a") <= sql.count("a")
+
+
 def test_validate():
     before, query, after = validate_script("/* x */ create view v as select 1; -- note\n select * from v ; drop view v")
     assert before == ["/* x */ create view v as select 1"] and query.endswith("select * from v") and after == ["drop view v"]
@@ -141,6 +150,22 @@ def test_variants():
         fr.Variant.of("none")
 
 
+def test_staged_tables_can_be_released(spark, data):
+    one = stage(spark.range(5))
+    first = tpch.fragments(spark, data)
+    assert one.count() == 5 and tpch.fragments(spark, data) is first
+    release_staged()
+    with pytest.raises(Exception, match="[Nn]ot.exist|NOT_FOUND|FAILED_READ_FILE"):
+        one.collect()
+    assert tpch.fragments(spark, data)["region"].count() > 0
+
+
+def test_broadcast_is_size_checked(spark):
+    small, large = stage(spark.range(5)), stage(spark.range(50).withColumnRenamed("id", "k"))
+    plan = lambda df: df._jdf.queryExecution().logical().toString()
+    assert "Hint" in plan(bounded_broadcast(small, 5)) and "Hint" not in plan(bounded_broadcast(large, 5))
+
+
 def test_shard_stats(spark):
     df = spark.createDataFrame([(0,)] * 4 + [(1,)] * 3, f"{SHARD} int")
     r = fr.shard_stats(df, 3).first()

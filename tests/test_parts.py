@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fragsql.functions import hashes, text
+from fragsql.functions import arrays, hashes, text
 from fragsql.operators import kmeans, mapreduce
 from fragsql.operators.kv import KVStore, predicate
 from fragsql.operators.ring import Ring
@@ -195,6 +195,20 @@ def test_csv(spark, tmp_path):
     assert sum(len(f) for f in csvio.query_rows(spark, "select id from range(25)", 10)) == 25
 
 
+def test_jdbc(spark):
+    url, driver = f"jdbc:derby:memory:t{random.randrange(10**9)};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else f"n{i}") for i in range(30)], "ID int, NAME string")
+    csvio.write_jdbc(df, url, "T", replace=False, driver=driver)
+    csvio.write_jdbc(df.where("ID < 20"), url, "T", driver=driver)
+    csvio.write_jdbc(df.where("ID = 25"), url, "T", replace=False, driver=driver)
+    got = csvio.read_jdbc(spark, url, "select ID, NAME from T where ID > 9", driver=driver)
+    assert sorted(r["ID"] for r in got.collect()) == [*range(10, 20), 25]
+    side = csvio.read_jdbc(spark, url, "select * from T", driver=driver, partitionColumn="ID", lowerBound="0", upperBound="30", numPartitions="3")
+    assert side.count() == 21 and side.where("NAME is null").count() == 7 and side.rdd.getNumPartitions() == 3
+    pairs = mapreduce.map_phase(got, lambda i, n: [(n, i)], "k string, v long", skip=lambda i, n: n is None)
+    assert pairs.count() == 8
+
+
 # -- functions --------------------------------------------------------------------------------------------------------
 
 
@@ -221,6 +235,14 @@ def test_text_functions(spark):
     assert one(spark, text.to_bits(F.lit(5), 8)) == "00000101" and one(spark, text.to_bits(F.lit(-1), 8)) == "1" * 8
 
 
+def test_arrays(spark):
+    f = lambda g, *x: one(spark, g(F.array(*[F.lit(v) for v in x]).cast("array<int>")))
+    assert f(arrays.array_sum, 1, None, 4) == 5 and f(arrays.array_mean, 1, None, 4) == 2.5 and f(arrays.array_variance, 1, 2, 3, 4) == pytest.approx(5 / 3)
+    assert f(arrays.array_stddev, 2, 4) == pytest.approx(2**0.5) and f(arrays.array_least, -1, -5) == -5 and f(arrays.array_most, -1, -5) == -1
+    assert f(arrays.array_sum) == 0 and f(arrays.array_mean) is None and f(arrays.array_variance, 1) is None
+    assert one(spark, arrays.array_mean(F.lit(None).cast("array<int>"))) is None
+
+
 def test_hashes(spark):
     assert one(spark, hashes.hash_column("fnv1a_32", F.lit("a"))) == 0xE40C292C - (1 << 32)
     assert one(spark, hashes.hash_column("FNV1A_64", F.lit("a"))) == 0xAF63DC4C8601EC8C - (1 << 64)
