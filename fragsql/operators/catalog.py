@@ -6,6 +6,8 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 from enum import Enum
 
+from pyspark.sql import DataFrame, SparkSession
+
 #: The column of a fragment that says why this copy of a row is here.
 HIDDEN = "_hidden"
 #: The column of a fragment that says where it is.
@@ -24,9 +26,16 @@ class TableSpec:
 
 
 class NodeState(Enum):
-    ALIVE = 1
-    SUSPECTED = 2
-    DEAD = 3
+    # fixed values: the numbers that catalog tables hold
+    NORMAL = 0
+    MAINTENANCE = 1
+    SUSPECTED = -2
+    DEAD = -1
+
+    @property
+    def valid(self) -> bool:
+        """Whether tasks may be sent to the node's data: it works, or is only being looked after."""
+        return self in (NodeState.NORMAL, NodeState.MAINTENANCE)
 
 
 @dataclass
@@ -93,7 +102,7 @@ class Catalog:
                 out.append(b)
         return out
 
-    def add_node(self, node: str, master: str | None = None, distkey: str = "", state: NodeState = NodeState.ALIVE) -> None:
+    def add_node(self, node: str, master: str | None = None, distkey: str = "", state: NodeState = NodeState.NORMAL) -> None:
         self.nodes[distkey, node] = master
         self.states.setdefault(node, state)
 
@@ -108,3 +117,15 @@ class Catalog:
         before = self.states.get(node)
         self.states[node] = state
         return before
+
+    def load_nodes(self, rows: DataFrame) -> None:
+        """Nodes from a table distkey, node, masternode, state, which has a row for each node and key; other states count as suspected."""
+        known = {x.value: x for x in NodeState}
+        for r in rows.select("distkey", "node", "masternode", "state").collect():
+            self.add_node(r["node"], r["masternode"], r["distkey"], known.get(r["state"], NodeState.SUSPECTED))
+
+    def tables(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+        """The catalog as tables: (distkey, node, masternode, state) and (tablename, id)."""
+        nodes = [(k, n, m, self.states[n].value) for (k, n), m in sorted(self.nodes.items())]
+        ids = [(self.specs[t].name, i) for t, i in self.ids.items()]
+        return spark.createDataFrame(nodes, "distkey string, node string, masternode string, state smallint"), spark.createDataFrame(ids, "tablename string, id smallint")

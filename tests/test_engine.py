@@ -88,7 +88,20 @@ def test_catalog():
     c.add_node("n2", "n1")
     c.add_node("n3", distkey="k")
     assert c.masters() == ["n1"] and c.slaves("n1") == ["n2"] and c.masters("k") == ["n3"]
-    assert c.set_state("n1", NodeState.DEAD) is NodeState.ALIVE and c.set_state("n1", NodeState.ALIVE) is NodeState.DEAD
+    assert c.set_state("n1", NodeState.DEAD) is NodeState.NORMAL and c.set_state("n1", NodeState.NORMAL) is NodeState.DEAD
+    assert NodeState.MAINTENANCE.valid and not NodeState(-2).valid
+
+
+def test_catalog_from_and_to_tables(spark, data):
+    rows = spark.read.parquet(f"{data}/distribution_catalog.parquet")
+    c = tpch.catalog()
+    c.load_nodes(rows)
+    nodes, ids = c.tables(spark)
+    assert sorted(nodes.drop("state").collect()) == sorted(rows.select("distkey", "node", "masternode").collect())
+    assert {r["tablename"]: r["id"] for r in ids.collect()}["partsupp"] == 3
+    for key in {r["distkey"] for r in rows.collect()}:
+        listed = set(c.masters(key)) | {s for m in {r["masternode"] for r in rows.where(F.col("distkey") == key).collect() if r["masternode"]} for s in c.slaves(m, key)}
+        assert listed == {r["node"] for r in rows.where(F.col("distkey") == key).collect()}
 
 
 # -- fragments --------------------------------------------------------------------------------------------------------
