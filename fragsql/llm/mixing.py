@@ -24,28 +24,30 @@ def source_key(source: str | Column) -> Column:
     return F.lower(F.btrim(F.col(source) if isinstance(source, str) else source, F.lit(" \t\r\n")))
 
 
-def _cut_mean(mean: float, cap: int) -> float:
-    """The expected min(X, cap) of a Poisson X."""
-    k = np.arange(cap)
-    p = np.exp(-mean) * np.cumprod(np.r_[1.0, np.full(cap - 1, mean) / k[1:]])
-    return float(cap - ((cap - k) * p).sum())
-
-
-def copies_distribution(rate: float, cap: int) -> list[float]:
-    """P(X <= 0), ... P(X <= cap - 1) of the Poisson X for which min(X, cap) has the mean rate."""
-    if cap < 1 or not rate > 0:
-        return [1.0] * max(cap, 0)
-    if rate >= cap:
-        return [0.0] * cap
-    low, high = 0.0, 1.0
-    while _cut_mean(high, cap) < rate and high < 700:
-        high *= 2
-    for _ in range(80):
+def _poisson(means: np.ndarray, cap: int) -> np.ndarray:
+    """P(X = 0), ... P(X = cap - 1) in a line for each mean."""
+    steps = means[:, None] / np.maximum(np.arange(cap), 1)
+    steps[:, 0] = np.exp(-means)
+    return np.cumprod(steps, axis=1)
+
+
+def copies_distributions(rates: np.ndarray, cap: int) -> np.ndarray:
+    """P(X <= 0), ... P(X <= cap - 1) of the Poisson X for which min(X, cap) has the mean rate, in a line for each rate.
+
+    A rate of 0 or less gives no copies, one of cap or more always cap of them.
+    """
+    rates = np.asarray(rates, np.float64)
+    out = np.where(rates[:, None] >= cap, 0.0, np.ones((len(rates), max(cap, 0))))
+    inner = np.flatnonzero((rates > 0) & (rates < cap))
+    if cap < 1 or not len(inner):
+        return out
+    low, high = np.zeros(len(inner)), np.full(len(inner), 700.0)
+    for _ in range(70):
         mid = (low + high) / 2
-        low, high = (mid, high) if _cut_mean(mid, cap) < rate else (low, mid)
-    k = np.arange(cap)
-    p = np.exp(-low) * np.cumprod(np.r_[1.0, np.full(cap - 1, low) / k[1:]])
-    return np.minimum(np.cumsum(p), 1.0).tolist()
+        mean = cap - ((cap - np.arange(cap)) * _poisson(mid, cap)).sum(axis=1)
+        low, high = np.where(mean < rates[inner], mid, low), np.where(mean < rates[inner], high, mid)
+    out[inner] = np.minimum(np.cumsum(_poisson(low, cap), axis=1), 1.0)
+    return out
 
 
 #: Factors of the rate that are tried so that the tokens drawn come close to the tokens wanted; the middle one is 1.
@@ -54,7 +56,7 @@ FACTORS = [1.025**k for k in range(-20, 21)]
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
 def _distributions(rate: pd.Series, cap: pd.Series) -> pd.Series:
-    return pd.Series([[copies_distribution(r * f if r < c else r, int(c)) for f in FACTORS] for r, c in zip(rate, cap, strict=True)])
+    return pd.Series([copies_distributions(np.array(FACTORS) * r if r < c else np.full(len(FACTORS), r), int(c)).tolist() for r, c in zip(rate, cap, strict=True)])
 
 
 def uniform(*columns: str | Column, seed: int = 0) -> Column:

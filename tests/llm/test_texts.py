@@ -98,7 +98,7 @@ def test_packed_texts(spark, data):
 
 @pytest.mark.parametrize(("rate", "cap"), [(0.0, 3), (0.2, 1), (0.9, 2), (2.5, 3), (4.0, 4), (1.7, 40), (0.5, 0)])
 def test_cut_poisson_has_the_mean(rate, cap):
-    cdf = mixing.copies_distribution(rate, cap)
+    cdf = mixing.copies_distributions(np.array([0.1, rate]), cap)[1].tolist()
     assert len(cdf) == cap and all(a <= b for a, b in zip(cdf, cdf[1:], strict=False))
     assert sum(1 - c for c in cdf) == pytest.approx(min(rate, cap), abs=1e-6)
 
