@@ -55,15 +55,6 @@ def _blocks(series: DataFrame, halo: int, block: int) -> DataFrame:
     return series.withColumn("block", F.explode(near)).withColumn("core", F.col("block") == home)
 
 
-def _standing(w, v: str = "v", at_least: int = 10) -> list[tuple[str, Column]]:
-    """Columns to add one after another; the last, still, is true in a run of at_least equal values other than 0."""
-    return [
-        ("__new", F.when(F.col(v) == F.lag(v).over(w), 0).otherwise(1)),
-        ("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))),
-        ("still", (F.col(v) != 0) & (F.count(F.lit(1)).over(Window.partitionBy("src", "field", "block", "__run")) >= at_least)),
-    ]
-
-
 def _row_faults(df: DataFrame, id_: str, clock: Column, fields: Sequence[str], time: str, low: float, high: float) -> DataFrame:
     """Faults judged row by row, null where there is none."""
     each = [F.when(clock, F.struct(F.lit(time).alias("field"), F.lit("clock").alias("fault")))]
@@ -107,13 +98,24 @@ def measurement_faults(
     good = df.where(~clock)
     series = _series(good, source, time, fields, low, high)
     w = Window.partitionBy("src", "field", "block").orderBy("pos")
-    work = _blocks(series, max(still, reach + 1), block)
-    around = F.array_sort(F.collect_list("v").over(w.rowsBetween(-reach, reach)))
-    work = work.withColumn("__a", around).withColumn("step", F.abs(F.col("v") - F.lag("v").over(w)))
-    size = F.size("__a")
-    work = work.withColumn("mid", (F.element_at("__a", F.floor((size + 1) / 2).cast("int")) + F.element_at("__a", (F.floor(size / 2) + 1).cast("int"))) / 2)
-    for name, col in _standing(w, at_least=still):
-        work = work.withColumn(name, col)
+    keep = ["src", "field", "block", "core", "pos", "t", "v"]
+    before = F.lag("v").over(w)
+    work = _blocks(series, max(still, reach + 1), block).select(
+        *keep,
+        F.array_sort(F.collect_list("v").over(w.rowsBetween(-reach, reach))).alias("near"),
+        F.abs(F.col("v") - before).alias("step"),
+        F.when(F.col("v") == before, 0).otherwise(1).alias("new"),
+    )
+    middle = lambda i: F.element_at("near", F.floor(i).cast("int"))
+    work = work.select(
+        *keep,
+        "step",
+        ((middle((F.size("near") + 1) / 2) + middle(F.size("near") / 2 + 1)) / 2).alias("mid"),
+        F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"),
+    )
+    # a run of this length within a block and its halo is one of at least this length
+    alike = F.count(F.lit(1)).over(Window.partitionBy("src", "field", "block", "run"))
+    work = work.withColumn("still", (F.col("v") != 0) & (alike >= still))
     work = stage(work.where("core").select("src", "field", "t", "v", "mid", "step", "still"), "readings")
     usual = stage(exact_median(work, ["src", "field"], "step", "usual").select(F.col("src").alias("__src"), F.col("field").alias("__field"), "usual"), "usual")
     judged = work.join(bounded_broadcast(usual), F.col("src").eqNullSafe(F.col("__src")) & (F.col("field") == F.col("__field")), "left")
