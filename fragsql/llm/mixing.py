@@ -110,8 +110,9 @@ def prepare(
     uses = lambda cdf: F.coalesce(F.size(F.filter(cdf, lambda c: u > c)), F.lit(0))
     tried = (
         sized.join(bounded_broadcast(plan.select(F.col("source").alias("__s"), "cdfs")), F.col("source_key") == F.col("__s"))
+        .select("__s", "n_tokens", F.transform("cdfs", uses).alias("uses"))
         .groupBy("__s")
-        .agg(F.array(*[F.sum(F.col("n_tokens") * uses(F.col("cdfs")[j])) for j in range(len(FACTORS))]).alias("drawn"))
+        .agg(F.expr("array(" + ", ".join(f"sum(n_tokens * uses[{j}])" for j in range(len(FACTORS))) + ")").alias("drawn"))
     )
     gap = F.transform("drawn", lambda x, i: F.struct(F.abs(x - F.col("wanted")).alias("gap"), F.abs(i - F.lit(len(FACTORS) // 2)).alias("far"), i.alias("i")))
     chosen = F.coalesce(F.array_min(gap)["i"], F.lit(len(FACTORS) // 2))
