@@ -7,7 +7,7 @@ third of all rows is therefore no larger a task than any other.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -125,6 +125,35 @@ def measurement_faults(
     return out.withColumnRenamed("id", id_)
 
 
+def _points(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and second differences of a series, and how much it bends at each reading."""
+    n = len(x)
+    d1, d2, bend = np.zeros(n), np.zeros(n), np.full(n, -np.inf)
+    d1[1:-1] = (x[2:] - x[:-2]) / 2
+    d2[2:-2] = (x[4:] - 2 * x[2:-2] + x[:-4]) / 4
+    bend[1:-1] = np.abs(x[2:] - 2 * x[1:-1] + x[:-2])
+    return d1, d2, bend
+
+
+def _peaks_outside(x: np.ndarray, d1: np.ndarray, d2: np.ndarray, bend: np.ndarray, quartiles: np.ndarray, slope: float, n: int) -> np.ndarray:
+    """Which readings lie outside the ellipsoid of a series of n and bend it no less than both their neighbours.
+
+    quartiles has a line for each quarter and a column for each of x, d1 and d2.
+    """
+    low, mid, high = quartiles
+    sx, s1, s2 = ((high - low) / 1.349) ** 2
+    dx, angle = x - mid[0], np.arctan(slope)
+    cos, sin = np.cos(angle), np.sin(angle)
+    det = cos**4 - sin**4
+    a, b = ((sx * cos**2 - s2 * sin**2) / det, (s2 * cos**2 - sx * sin**2) / det) if abs(det) > 1e-9 else (sx, s2)
+    radius = np.zeros(len(x))
+    for y, s in ((dx * cos + d2 * sin, a), (d1, s1), (d2 * cos - dx * sin, b)):
+        if s > 0:
+            radius += y**2 / s
+    around = np.pad(bend, 1, constant_values=-np.inf)
+    return (radius > 2 * np.log(n)) & (bend >= np.maximum(around[:-2], around[2:]))
+
+
 def phase_space_spikes(v: np.ndarray, max_iterations: int = 10) -> np.ndarray:
     """Which readings of one series are spikes, by robust ellipsoids in phase space.
 
@@ -140,23 +169,10 @@ def phase_space_spikes(v: np.ndarray, max_iterations: int = 10) -> np.ndarray:
     if n < 5:
         return spike
     for _ in range(max_iterations):
-        d1, d2, bend = np.zeros(n), np.zeros(n), np.full(n, -np.inf)
-        d1[1:-1] = (x[2:] - x[:-2]) / 2
-        d2[2:-2] = (x[4:] - 2 * x[2:-2] + x[:-4]) / 4
-        bend[1:-1] = np.abs(x[2:] - 2 * x[1:-1] + x[:-2])
-        low, mid, high = np.percentile(np.stack([x, d1, d2]), [25, 50, 75], axis=1)
-        sx, s1, s2 = ((high - low) / 1.349) ** 2
-        dx, var = x - mid[0], x.var()
-        angle = np.arctan(np.cov(x, d2, bias=True)[0, 1] / var) if var > 0 else 0.0
-        cos, sin = np.cos(angle), np.sin(angle)
-        det = cos**4 - sin**4
-        a, b = ((sx * cos**2 - s2 * sin**2) / det, (s2 * cos**2 - sx * sin**2) / det) if abs(det) > 1e-9 else (sx, s2)
-        radius = np.zeros(n)
-        for y, s in ((dx * cos + d2 * sin, a), (d1, s1), (d2 * cos - dx * sin, b)):
-            if s > 0:
-                radius += y**2 / s
-        around = np.pad(bend, 1, constant_values=-np.inf)
-        fresh = (radius > 2 * np.log(n)) & ~spike & (bend >= np.maximum(around[:-2], around[2:]))
+        d1, d2, bend = _points(x)
+        var = x.var()
+        slope = np.cov(x, d2, bias=True)[0, 1] / var if var > 0 else 0.0
+        fresh = _peaks_outside(x, d1, d2, bend, np.percentile(np.stack([x, d1, d2]), [25, 50, 75], axis=1), slope, n) & ~spike
         if not fresh.any():
             break
         spike |= fresh
@@ -168,6 +184,125 @@ def phase_space_spikes(v: np.ndarray, max_iterations: int = 10) -> np.ndarray:
     return spike
 
 
+def _each_block(blocks: DataFrame, f: Callable[[dict], pa.Table], schema: str) -> DataFrame:
+    """f of every row of blocks; lists come as numpy arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i] for c in batch.schema.names}
+                yield from f({c: x.values.to_numpy(zero_copy_only=False) if pa.types.is_list(x.type) else x for c, x in row.items()}).to_batches()
+
+    return blocks.mapInArrow(run, schema)
+
+
+def _list(values: np.ndarray | pa.Array) -> pa.Array:
+    values = pa.array(values)
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _again(scalar: pa.Scalar, n: int) -> pa.Array:
+    return pa.repeat(scalar, n)
+
+
+def _edges(row: dict) -> pa.Table:
+    """The readings of a block that others may need: the outermost two, and the outermost good ones of the rest, on either side."""
+    v, spike, n = row["v"], row["spike"], len(row["v"])
+    inner = np.flatnonzero(~spike[2:-2])[[0, -1]] + 2 if n > 4 and not spike[2:-2].all() else []
+    at = np.unique(np.r_[0, min(1, n - 1), max(n - 2, 0), n - 1, inner].astype(int))
+    same = {c: _again(row[c], len(at)) for c in ("src", "field", "block")}
+    return pa.table(same | {"at": pa.array(at + row["start"].as_py()), "v": pa.array(v[at]), "spike": pa.array(spike[at])})
+
+
+def _neighbours(part: pa.Table) -> pa.Table:
+    """For each block of one series, the two readings beyond either end of it and the nearest good ones beyond those."""
+    part = part.sort_by("at")
+    at, v, spike, block = (part[c].to_numpy() for c in ("at", "v", "spike", "block"))
+    place, m = np.arange(len(at)), len(at)
+    before = np.maximum.accumulate(np.where(spike, -1, place))
+    after = np.minimum.accumulate(np.where(spike, m, place)[::-1])[::-1]
+    begins = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+    near = []
+    for i, j in zip(begins, np.append(begins[1:], m), strict=True):
+        left = [before[i - 3]] if i >= 3 else []
+        right = [after[j + 2]] if j + 2 < m else []
+        near.append(np.array([k for k in (*left, i - 2, i - 1, j, j + 1, *right) if 0 <= k < m], int))
+    lists = {f"near_{c}": pa.array([x[k] for k in near], pa.list_(kind)) for c, x, kind in (("at", at, pa.int64()), ("v", v, pa.float64()), ("spike", spike, pa.bool_()))}
+    same = {f"__{c}": part[c].take(pa.array(begins)) for c in ("src", "field", "block")}
+    return pa.table(same | lists)
+
+
+def _filled(row: dict) -> tuple[np.ndarray, int]:
+    """A block's readings, and up to two beyond either end, with spikes replaced by lines; how many come before the block."""
+    start, n, near = row["start"].as_py(), len(row["v"]), row["near_at"]
+    cut = np.searchsorted(near, start)
+    join = lambda c, x: np.concatenate([row[f"near_{c}"][:cut], x, row[f"near_{c}"][cut:]])
+    at, x, spike = join("at", np.arange(start, start + n)), join("v", row["v"]), join("spike", row["spike"]).astype(bool)
+    if spike.any() and not spike.all():
+        x[spike] = np.interp(at[spike], at[~spike], x[~spike])
+    keep = (at >= start - 2) & (at < start + n + 2)
+    return x[keep], int(np.count_nonzero(at[keep] < start))
+
+
+def _block_points(row: dict) -> pa.Table:
+    x, skip = _filled(row)
+    core = slice(skip, skip + len(row["v"]))
+    same = {c: _again(row[c], len(row["v"])) for c in ("src", "field")}
+    d1, d2, _ = _points(x)
+    return pa.table(same | {"x": x[core], "d1": d1[core], "d2": d2[core]})
+
+
+def _block_marks(row: dict) -> pa.Table:
+    """The block with its fresh spikes."""
+    x, skip = _filled(row)
+    spike = row["spike"].astype(bool)
+    fresh = _peaks_outside(x, *_points(x), row["quartiles"].reshape(3, 3), row["slope"].as_py(), row["n"].as_py())[skip : skip + len(spike)] & ~spike
+    same = {c: _again(row[c], 1) for c in ("src", "field", "block", "start", "n")}
+    lists = {c: _list(row[c]) for c in ("t", "v", "stuck")}
+    return pa.table(same | lists | {"spike": _list(spike | fresh), "fresh": [int(fresh.sum())]})
+
+
+def _quartiles(points: DataFrame) -> DataFrame:
+    """__src, __field, quartiles: those of x, d1 and d2, exactly, interpolated like numpy's: three lines of three."""
+    each = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).alias("y")) for i, c in enumerate(("x", "d1", "d2"))])
+    at = with_positions(points.select("src", "field", F.explode(each).alias("r")).select("src", "field", "r.c", "r.y"), ["src", "field", "c"], ["y"])
+    place = F.struct(*[((F.col("n") - 1) * F.lit(q / 4)).alias(f"q{q}") for q in (1, 2, 3)])
+    # a quarter lies between two positions, and each of them counts by its nearness
+    near = lambda q: F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(F.col("pos") - 1 - F.col("at")[f"q{q}"]))
+    at = at.withColumn("at", place).select("src", "field", "c", "y", *[near(q).alias(f"q{q}") for q in (1, 2, 3)]).where("q1 + q2 + q3 > 0")
+    line = at.groupBy("src", "field", "c").agg(*[F.sum(F.col("y") * F.col(f"q{q}")).alias(f"q{q}") for q in (1, 2, 3)])
+    one = lambda q: [F.max(F.when(F.col("c") == i, F.col(f"q{q}"))) for i in range(3)]
+    return line.groupBy(F.col("src").alias("__src"), F.col("field").alias("__field")).agg(F.array(*one(1), *one(2), *one(3)).alias("quartiles"))
+
+
+def _spikes_of_blocks(blocks: DataFrame, max_iterations: int) -> DataFrame:
+    """phase_space_spikes of series cut into blocks (src, field, block, start, n, t, v, stuck, spike; a row each).
+
+    Centre, spreads, angle and n are those of the whole series in every round: quartiles come from positions in a
+    range-partitioned sort, the angle from mergeable sums. Of its neighbours a block gets only what differences and
+    lines at its ends need; these few readings of each block are the only ones brought together per series.
+    """
+    kind, done = dict(blocks.dtypes), None
+    row = ", ".join(f"{c} {kind[c]}" for c in ("src", "field", "block", "start", "n", "t", "v", "stuck", "spike"))
+    mine = lambda *more: F.col("src").eqNullSafe(F.col("__src")) & (F.col("field") == F.col("__field")) & (F.col("block") == F.col("__block") if more else F.lit(True))
+    for _ in range(max_iterations):
+        edges = _each_block(blocks, _edges, f"src {kind['src']}, field string, block bigint, at bigint, v double, spike boolean")
+        near = edges.groupBy("src", "field").applyInArrow(_neighbours, f"__src {kind['src']}, __field string, __block bigint, near_at array<bigint>, near_v array<double>, near_spike array<boolean>")
+        beside = blocks.join(bounded_broadcast(stage(near, "near")), mine("block")).drop("__src", "__field", "__block")
+        points = stage(_each_block(beside, _block_points, f"src {kind['src']}, field string, x double, d1 double, d2 double"), "points")
+        slope = points.groupBy(F.col("src").alias("__s"), F.col("field").alias("__f")).agg(F.coalesce(F.try_divide(F.covar_pop("x", "d2"), F.var_pop("x")), F.lit(0.0)).alias("slope"))
+        shape = _quartiles(points).join(slope, F.col("__src").eqNullSafe(F.col("__s")) & (F.col("__field") == F.col("__f"))).drop("__s", "__f")
+        judged = beside.join(bounded_broadcast(stage(shape, "shape")), mine()).drop("__src", "__field")
+        judged = stage(_each_block(judged, _block_marks, row + ", fresh bigint"), "judged")
+        busy = stage(judged.groupBy(F.col("src").alias("__src"), F.col("field").alias("__field")).agg(F.sum("fresh").alias("__fresh")).where("__fresh > 0"), "busy")
+        calm = judged.join(bounded_broadcast(busy), mine(), "left_anti").drop("fresh")
+        done = calm if done is None else done.unionAll(calm)
+        blocks = judged.join(bounded_broadcast(busy), mine(), "left_semi").drop("fresh")
+        if not busy.limit(1).count():
+            break
+    return blocks if done is None else done.unionAll(blocks)
+
+
 def phase_space_faults(
     df: DataFrame,
     id_: str,
@@ -180,30 +315,46 @@ def phase_space_faults(
     still: int = 10,
     max_iterations: int = 10,
     block: int = 2 * BLOCK,
-    context: int = BLOCK // 2,
+    context: int = 0,
 ) -> DataFrame:
     """id, field, fault with spikes found by phase-space thresholding; clock, impossible and still as above.
 
-    The ellipsoids are those of a block of readings and `context` readings on either side, a source's normal behaviour
-    at that time; a series of up to `block` readings is one block. Zero-difference runs are `still`.
+    The ellipsoids are those of a source's whole series at any length; a series of up to `block` readings is judged in
+    one task, a longer one in blocks that carry max(still, context) readings of their neighbours along, with the same
+    result. Zero-difference runs are `still`.
 
     Nulls, repeated readings, an empty df and other columns are treated as in measurement_faults.
     """
     clock = clock_fault(df, time, seen) if seen else F.lit(False)
     good = df.where(~clock)
-    work = _blocks(_series(good, source, time, fields, low, high), max(context, still), block).select("src", "field", "block", "t", "v", "pos", "core")
+    work = _blocks(_series(good, source, time, fields, low, high), max(context, still), block).select("src", "field", "block", "t", "v", "pos", "n", "core")
 
     def judge(part: pa.Table) -> pa.Table:
         part = part.sort_by("pos")
-        v = part["v"].to_numpy()
+        v, n = part["v"].to_numpy(), part["n"][0].as_py()
         begins = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
         runs = np.diff(np.append(begins, len(v)))
         stuck = (np.repeat(runs, runs) >= still) & (v != 0)
-        fault = np.where(stuck, "still", np.where(phase_space_spikes(v, max_iterations), "spike", ""))
-        keep = part["core"].to_numpy(zero_copy_only=False) & (fault != "")
-        return part.append_column("fault", pa.array(fault.tolist(), pa.string())).filter(pa.array(keep)).select(["src", "field", "t", "fault"])
+        keep = part["core"].to_numpy()
+        whole = n <= block
+        spike = phase_space_spikes(v, max_iterations) if whole and keep.any() else np.zeros(len(v), bool)
+        if whole:  # nothing but its faults is needed any more
+            keep = keep & (stuck | spike)
+        start = part["pos"].to_numpy()[keep][:1] - 1
+        out = part.slice(0, len(start)).select(["src", "field", "block", "n"])
+        lists = {"t": part["t"].combine_chunks().filter(pa.array(keep)), "v": v[keep], "stuck": stuck[keep], "spike": spike[keep]}
+        out = out.append_column("start", pa.array(start))
+        for c, x in lists.items():
+            out = out.append_column(c, _list(x).slice(0, len(start)))
+        return out.select(["src", "field", "block", "start", "n", "t", "v", "stuck", "spike"])
 
     kind = dict(work.dtypes)
-    flagged = work.groupBy("src", "field", "block").applyInArrow(judge, f"src {kind['src']}, field string, t {kind['t']}, fault string")
+    schema = f"src {kind['src']}, field string, block bigint, start bigint, n bigint, t array<{kind['t']}>, v array<double>, stuck array<boolean>, spike array<boolean>"
+    blocks = stage(work.groupBy("src", "field", "block").applyInArrow(judge, schema), "blocks")
+    long = blocks.where(F.col("n") > block)
+    if long.limit(1).count():
+        blocks = blocks.where(F.col("n") <= block).unionAll(_spikes_of_blocks(long, max_iterations))
+    each = blocks.select("src", "field", F.explode(F.arrays_zip("t", "stuck", "spike")).alias("r"))
+    flagged = each.select("src", "field", "r.t", F.when(F.col("r.stuck"), "still").when(F.col("r.spike"), "spike").alias("fault")).where(F.col("fault").isNotNull())
     out = _row_faults(df, id_, clock, fields, time, low, high).unionAll(_spread_to_rows(good, flagged, id_, source, time, fields))
     return out.withColumnRenamed("id", id_)

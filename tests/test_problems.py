@@ -175,3 +175,15 @@ def test_phase_space_finds_planted_spikes(spark):
     assert {r["id"] for r in got if r["fault"] == "still"} == set(range(9000, 9020))
     assert {r["id"] for r in got if r["fault"] == "impossible"} == {9100}
     assert not [r for r in got if at[r["id"]][0] == "zero"]
+
+
+def test_phase_space_ellipsoids_are_those_of_the_whole_series(spark):
+    rnd = np.random.default_rng(6)
+    calm, noisy = rnd.normal(0.3, 0.002, 900), rnd.normal(0.3, 0.05, 300)
+    v = np.clip(np.concatenate([calm, noisy, calm + 0.02]), 0.01, 0.99)
+    v[[450, 511, 512, 1050, 1799, 1800, 1801, 2020]] = 0.95
+    want = set(np.flatnonzero(phase_space_spikes(v)))
+    df = spark.createDataFrame([(t, s, t, float(x)) for s in ("a", None) for t, x in enumerate(v)], "id long, s string, t long, v double").repartition(5)
+    for block in (256, 1049, 4096):
+        got = phase_space_faults(df, "id", "s", "t", ["v"], block=block, context=0).collect()
+        assert sorted(r["id"] for r in got) == sorted([*want, *want])
