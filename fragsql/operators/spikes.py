@@ -126,12 +126,22 @@ def measurement_faults(
 
 
 def _points(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and second differences of a series, and how much it bends at each reading."""
+    """First and second differences of a series, and how much it bends at each reading.
+
+    At the ends they are one-sided; the outermost readings have no second difference (0). A spike of height h bends its own place by 2h and the places beside it by h; the
+    bend at an end is 1.5 times its step, so that a spike there counts more than its neighbour and a neighbour's less.
+    """
     n = len(x)
-    d1, d2, bend = np.zeros(n), np.zeros(n), np.full(n, -np.inf)
+    if n < 3:  # a block of one reading and less than two beside it is never judged
+        return np.zeros(n), np.zeros(n), np.zeros(n)
+    d1, d2, bend = np.zeros(n), np.zeros(n), np.zeros(n)
     d1[1:-1] = (x[2:] - x[:-2]) / 2
+    d1[0], d1[-1] = (x[1] - x[0]) / 2, (x[-1] - x[-2]) / 2
+    curve = x[2:] - 2 * x[1:-1] + x[:-2]
     d2[2:-2] = (x[4:] - 2 * x[2:-2] + x[:-4]) / 4
-    bend[1:-1] = np.abs(x[2:] - 2 * x[1:-1] + x[:-2])
+    d2[1], d2[-2] = curve[0] / 4, curve[-1] / 4
+    bend[1:-1] = np.abs(curve)
+    bend[0], bend[-1] = 1.5 * abs(x[1] - x[0]), 1.5 * abs(x[-1] - x[-2])
     return d1, d2, bend
 
 

@@ -187,3 +187,14 @@ def test_phase_space_ellipsoids_are_those_of_the_whole_series(spark):
     for block in (256, 1049, 4096):
         got = phase_space_faults(df, "id", "s", "t", ["v"], block=block, context=0).collect()
         assert sorted(r["id"] for r in got) == sorted([*want, *want])
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_phase_space_flags_the_ends_and_not_their_neighbours(seed):
+    noise = np.random.default_rng(seed).normal(0.3, 0.01, 2000)
+    for at in ([0, 3, 700, 1999], [1, 1998], [2, 1997], [0], [1999]):
+        v = noise.copy()
+        v[at] = 0.9
+        found = set(np.flatnonzero(phase_space_spikes(v)))
+        assert found >= set(at)
+        assert not found & {k for a in at for k in (a - 1, a + 1)} - set(at)
