@@ -7,7 +7,8 @@ third of all rows is therefore no larger a task than any other.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -164,7 +165,11 @@ def _peaks_outside(x: np.ndarray, d1: np.ndarray, d2: np.ndarray, bend: np.ndarr
     return (radius > 2 * np.log(n)) & (bend >= np.maximum(around[:-2], around[2:]))
 
 
-def phase_space_spikes(v: np.ndarray, max_iterations: int = 10) -> np.ndarray:
+def _rounds(most: int | None) -> Iterable[int]:
+    return count() if most is None else range(most)
+
+
+def phase_space_spikes(v: np.ndarray, max_iterations: int | None = None) -> np.ndarray:
     """Which readings of one series are spikes, by robust ellipsoids in phase space.
 
     A reading is a point (value, first difference, second difference). The ellipsoid of normal behaviour has its
@@ -172,13 +177,13 @@ def phase_space_spikes(v: np.ndarray, max_iterations: int = 10) -> np.ndarray:
     difference are turned by their regression angle, its semi-axes are sqrt(2 ln n) spreads. A point outside is a
     spike if it bends the series no less than both its neighbours, which a spike drags outside with it. Spikes are
     replaced by a line between the good readings around them and the ellipsoid is found again, until no new spike
-    appears or after max_iterations. A direction in which the series has no spread isn't judged.
+    appears (every round but the last marks one) or, if given, after max_iterations. A direction in which the series has no spread isn't judged.
     """
     n, spike = len(v), np.zeros(len(v), bool)
     x = v.astype(np.float64)
     if n < 5:
         return spike
-    for _ in range(max_iterations):
+    for _ in _rounds(max_iterations):
         d1, d2, bend = _points(x)
         var = x.var()
         slope = np.cov(x, d2, bias=True)[0, 1] / var if var > 0 else 0.0
@@ -285,7 +290,7 @@ def _quartiles(points: DataFrame) -> DataFrame:
     return line.groupBy(F.col("src").alias("__src"), F.col("field").alias("__field")).agg(F.array(*one(1), *one(2), *one(3)).alias("quartiles"))
 
 
-def _spikes_of_blocks(blocks: DataFrame, max_iterations: int) -> DataFrame:
+def _spikes_of_blocks(blocks: DataFrame, max_iterations: int | None) -> DataFrame:
     """phase_space_spikes of series cut into blocks (src, field, block, start, n, t, v, stuck, spike; a row each).
 
     Centre, spreads, angle and n are those of the whole series in every round: quartiles come from positions in a
@@ -295,7 +300,7 @@ def _spikes_of_blocks(blocks: DataFrame, max_iterations: int) -> DataFrame:
     kind, done = dict(blocks.dtypes), None
     row = ", ".join(f"{c} {kind[c]}" for c in ("src", "field", "block", "start", "n", "t", "v", "stuck", "spike"))
     mine = lambda *more: F.col("src").eqNullSafe(F.col("__src")) & (F.col("field") == F.col("__field")) & (F.col("block") == F.col("__block") if more else F.lit(True))
-    for _ in range(max_iterations):
+    for _ in _rounds(max_iterations):
         edges = _each_block(blocks, _edges, f"src {kind['src']}, field string, block bigint, at bigint, v double, spike boolean")
         near = edges.groupBy("src", "field").applyInArrow(_neighbours, f"__src {kind['src']}, __field string, __block bigint, near_at array<bigint>, near_v array<double>, near_spike array<boolean>")
         beside = blocks.join(bounded_broadcast(stage(near, "near")), mine("block")).drop("__src", "__field", "__block")
@@ -323,7 +328,7 @@ def phase_space_faults(
     low: float = 0.0,
     high: float = 1.0,
     still: int = 10,
-    max_iterations: int = 10,
+    max_iterations: int | None = None,
     block: int = 2 * BLOCK,
     context: int = 0,
 ) -> DataFrame:

@@ -198,3 +198,11 @@ def test_phase_space_flags_the_ends_and_not_their_neighbours(seed):
         found = set(np.flatnonzero(phase_space_spikes(v)))
         assert found >= set(at)
         assert not found & {k for a in at for k in (a - 1, a + 1)} - set(at)
+
+
+def test_phase_space_goes_on_until_no_spike_is_new():
+    rnd = np.random.default_rng(0)
+    v = 0.3 + 0.002 * np.exp(rnd.normal(0, 1.5, 300))
+    found = phase_space_spikes(v)
+    assert found.sum() > phase_space_spikes(v, 10).sum()
+    assert (found == phase_space_spikes(v, len(v))).all()
