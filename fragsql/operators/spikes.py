@@ -154,6 +154,8 @@ def _peaks_outside(x: np.ndarray, d1: np.ndarray, d2: np.ndarray, bend: np.ndarr
     low, mid, high = quartiles
     sx, s1, s2 = ((high - low) / 1.349) ** 2
     dx, angle = x - mid[0], np.arctan(slope)
+    if sx == 0 or s2 == 0:  # a flat ellipse isn't turned
+        angle = 0.0
     cos, sin = np.cos(angle), np.sin(angle)
     det = cos**4 - sin**4
     a, b = ((sx * cos**2 - s2 * sin**2) / det, (s2 * cos**2 - sx * sin**2) / det) if abs(det) > 1e-9 else (sx, s2)
@@ -161,6 +163,8 @@ def _peaks_outside(x: np.ndarray, d1: np.ndarray, d2: np.ndarray, bend: np.ndarr
     for y, s in ((dx * cos + d2 * sin, a), (d1, s1), (d2 * cos - dx * sin, b)):
         if s > 0:
             radius += y**2 / s
+        elif s == 0:
+            radius[y != 0] = np.inf
     around = np.pad(bend, 1, constant_values=-np.inf)
     return (radius > 2 * np.log(n)) & (bend >= np.maximum(around[:-2], around[2:]))
 
@@ -177,7 +181,8 @@ def phase_space_spikes(v: np.ndarray, max_iterations: int | None = None) -> np.n
     difference are turned by their regression angle, its semi-axes are sqrt(2 ln n) spreads. A point outside is a
     spike if it bends the series no less than both its neighbours, which a spike drags outside with it. Spikes are
     replaced by a line between the good readings around them and the ellipsoid is found again, until no new spike
-    appears (every round but the last marks one) or, if given, after max_iterations. A direction in which the series has no spread isn't judged.
+    appears (every round but the last marks one) or, if given, after max_iterations. In a direction in which the series has no spread, any deviation lies
+    outside; one whose turned spread comes out negative, which no ellipse has, isn't judged in that round.
     """
     n, spike = len(v), np.zeros(len(v), bool)
     x = v.astype(np.float64)
