@@ -26,9 +26,14 @@ def source_key(source: str | Column) -> Column:
 
 def _poisson(means: np.ndarray, cap: int) -> np.ndarray:
     """P(X = 0), ... P(X = cap - 1) in a line for each mean."""
-    steps = means[:, None] / np.maximum(np.arange(cap), 1)
-    steps[:, 0] = np.exp(-means)
-    return np.cumprod(steps, axis=1)
+    if means.max() <= 700:
+        steps = means[:, None] / np.maximum(np.arange(cap), 1)
+        steps[:, 0] = np.exp(-means)
+        return np.cumprod(steps, axis=1)
+    with np.errstate(divide="ignore"):  # exp(-mean) would be 0
+        steps = np.log(means)[:, None] - np.log(np.maximum(np.arange(cap), 1))
+    steps[:, 0] = -means
+    return np.exp(np.cumsum(steps, axis=1))
 
 
 def copies_distributions(rates: np.ndarray, cap: int) -> np.ndarray:
@@ -41,7 +46,8 @@ def copies_distributions(rates: np.ndarray, cap: int) -> np.ndarray:
     inner = np.flatnonzero((rates > 0) & (rates < cap))
     if cap < 1 or not len(inner):
         return out
-    low, high = np.zeros(len(inner)), np.full(len(inner), 700.0)
+    # at this mean, X falls short of the cap too seldom for any rate below it to lie higher
+    low, high = np.zeros(len(inner)), np.full(len(inner), max(700.0, cap + 40 * cap**0.5))
     for _ in range(70):
         mid = (low + high) / 2
         mean = cap - ((cap - np.arange(cap)) * _poisson(mid, cap)).sum(axis=1)

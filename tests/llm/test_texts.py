@@ -221,3 +221,11 @@ def test_against_sql(spark, data, duck, name):
 
 def test_no_query_drops_rows_by_id(spark, data):
     assert queries.p7_packed(spark, data).agg(F.count_distinct("doc_id")).first()[0] == spark.read.parquet(f"{data}/documents.parquet").count()
+
+
+@pytest.mark.parametrize("cap", [600, 800, 3000])
+def test_cut_poisson_reaches_rates_near_large_caps(cap):
+    rates = np.array([0.3, 0.9, 0.999]) * cap
+    below = mixing.copies_distributions(rates, cap)
+    assert np.allclose(cap - below.sum(axis=1), rates, rtol=1e-9)
+    assert (np.diff(below, axis=1) >= 0).all() and below.max() <= 1
