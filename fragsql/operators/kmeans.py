@@ -48,9 +48,21 @@ def _centroids(df: DataFrame, features: str, label: str, k: int, before: list[li
     return [found.get(i, before[i]) for i in range(len(before))]
 
 
-def fit(df: DataFrame, features: str, k: int, max_iterations: int = 20, tolerance: float = 1e-9, seed: int = 0, start: Sequence[Sequence[float]] | None = None) -> tuple[list[list[float]], DataFrame, int]:
+class Fit(tuple):
+    """(centroids, df with label, iterations), and converged: whether the centroids came to rest."""
+
+    converged: bool
+
+    def __new__(cls, centroids: list[list[float]], labelled: DataFrame, iterations: int, converged: bool) -> Fit:
+        self = super().__new__(cls, (centroids, labelled, iterations))
+        self.converged = converged
+        return self
+
+
+def fit(df: DataFrame, features: str, k: int, max_iterations: int | None = None, tolerance: float = 1e-9, seed: int = 0, start: Sequence[Sequence[float]] | None = None) -> Fit:
     """(centroids, df with label, iterations). Ends when the squared moves of all centroids sum to less than tolerance.
 
+    With max_iterations it may end before that, which the result's converged tells.
     Starts from `start`, or from the means of random labels. A centroid that no point is nearest to stays where it
     is. Only the k centroids come to the driver. Without points there are no centroids and labels are null.
     """
@@ -59,15 +71,14 @@ def fit(df: DataFrame, features: str, k: int, max_iterations: int = 20, toleranc
     else:
         centroids = [[float(x) for x in c] for c in start]
     if not centroids:
-        return [], df.withColumn("label", F.lit(None).cast("int")), 0
-    turn = 0
-    for turn in range(1, max_iterations + 1):
+        return Fit([], df.withColumn("label", F.lit(None).cast("int")), 0, True)
+    turn, converged = 0, False
+    while not converged and (max_iterations is None or turn < max_iterations):
+        turn += 1
         after = _centroids(assign(df.select(features), features, centroids, "__l"), features, "__l", k, centroids)
         moved = sum((x - y) ** 2 for a, b in zip(after, centroids, strict=True) for x, y in zip(a, b, strict=True))
-        centroids = after
-        if moved < tolerance:
-            break
-    return centroids, assign(df, features, centroids), turn
+        centroids, converged = after, moved < tolerance
+    return Fit(centroids, assign(df, features, centroids), turn, converged)
 
 
 def sample(df: DataFrame, show: int, size: int, seed: int = 0) -> DataFrame:

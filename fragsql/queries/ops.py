@@ -316,8 +316,9 @@ def op_kmeans_means(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op_kmeans_fit(spark: SparkSession, d: str) -> DataFrame:
-    _, labelled, _ = kmeans.fit(stage(table(spark, d, "embeddings").select("vec_id", "embedding"), "points"), "embedding", 5, 10, start=_start(spark, d))
-    return kmeans.group_sizes(labelled)
+    fitted = kmeans.fit(stage(table(spark, d, "embeddings").select("vec_id", "embedding"), "points"), "embedding", 5, start=_start(spark, d))
+    _, labelled, turns = fitted
+    return kmeans.group_sizes(labelled).withColumns({"iterations": F.lit(turns), "converged": F.lit(fitted.converged)})
 
 
 def op_sample(spark: SparkSession, d: str) -> DataFrame:

@@ -369,3 +369,14 @@ def test_entry(spark, data):
     assert set(e.oracle_sql()) <= set(e.queries())
     names = list(e.queries())
     assert names.index("p5_method") < names.index("p5_found")
+
+
+def test_k_means_goes_on_until_centroids_rest(spark):
+    points = spark.range(60).select(F.array(F.col("id").cast("double")).alias("features")).coalesce(1)
+    start = [[float(i)] for i in range(5)]
+    fitted = kmeans.fit(points, "features", 5, start=start)
+    centroids, _, turns = fitted
+    assert fitted.converged and turns > 20
+    again = kmeans.fit(points, "features", 5, 1, start=centroids)
+    assert again.converged and again[0] == centroids
+    assert not kmeans.fit(points, "features", 5, 2, start=start).converged
