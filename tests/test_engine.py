@@ -230,3 +230,8 @@ def test_first_job_fills_the_first_place(spark):
 @pytest.mark.parametrize("name", sorted(ops.SQL))
 def test_operator_against_sql(spark, data, duck, name):
     same(ops.QUERIES[name](spark, data), duck, ops.SQL[name])
+
+
+def test_multi_get_collects_no_key_whole(spark, data):
+    plan = ops.QUERIES["op_multi_get"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "partial_count" in plan
