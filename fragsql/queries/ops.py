@@ -13,7 +13,7 @@ from fragsql.functions import hashes, text
 from fragsql.operators import fragment as fr
 from fragsql.operators import kmeans, mapreduce
 from fragsql.operators.catalog import HIDDEN, SHARD
-from fragsql.operators.kv import KVStore, predicate
+from fragsql.operators.kv import KVStore
 from fragsql.plans.twophase import execute, run_script
 from fragsql.queries.tpch import SHARDS, catalog, fragments, tables
 from fragsql.runtime import shared_dir, stage, table
@@ -102,8 +102,9 @@ PREDICATES = {
 
 def _index(op: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        keys = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").cast("binary").alias("key"))
-        return keys.where(predicate(op, *PREDICATES[op][0])).select(F.col("key").cast("string").alias("k"))
+        kv = KVStore(spark, f"{shared_dir(spark)}/fragsql-kv-{uuid.uuid4().hex}")
+        kv.add_records("orders", table(spark, d, "orders"), ["o_orderkey"])
+        return kv.scan("orders", op, *PREDICATES[op][0]).select(F.col("key").cast("string").alias("k"))
 
     return run
 

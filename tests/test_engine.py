@@ -235,3 +235,9 @@ def test_operator_against_sql(spark, data, duck, name):
 def test_multi_get_collects_no_key_whole(spark, data):
     plan = ops.QUERIES["op_multi_get"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and "partial_count" in plan
+
+
+@pytest.mark.parametrize("op", ["bw", "in", "not_start_with"])
+def test_index_queries_scan_a_stored_index(spark, data, op):
+    files = ops.QUERIES[f"op_index_{op}"](spark, data).inputFiles()
+    assert files and all("/fragsql-kv-" in f for f in files)
