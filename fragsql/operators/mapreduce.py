@@ -7,39 +7,55 @@ an aggregate that DataFrames know, use those instead: they stay in the JVM.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from itertools import groupby
+from itertools import chain, groupby
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 Pair = tuple[Any, Any]
 #: A combiner sees no fewer pairs than this at a time; smaller rests pass it by.
 COMBINE_FROM = 512
 BATCH = 10_000
+_NAN = float("nan")
 
 
 def _schema(schema: str | T.StructType, spark: SparkSession) -> T.StructType:
     return schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
 
 
-def _frames(rows: Iterable[tuple], names: Sequence[str]) -> Iterator[pd.DataFrame]:
+def _batches(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        columns = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
     for row in rows:
         held.append(row)
         if len(held) == BATCH:
-            yield pd.DataFrame(held, columns=list(names), dtype=object)
+            yield batch()
             held = []
     if held:
-        yield pd.DataFrame(held, columns=list(names), dtype=object)
+        yield batch()
+
 
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Values as Python holds them: null as None, NaN as NaN, integers of any size as they are, structs as dicts."""
+    for batch in batches:
+        yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
 
-def _records(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-    for frame in frames:
-        columns = [[None if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v) else v for v in frame[c].tolist()] for c in frame.columns]
-        yield from zip(*columns, strict=True)
+
+def _same(key: Any) -> Any:
+    """The key for comparisons: all NaN are one key, lists and dicts can be looked up."""
+    if isinstance(key, float) and key != key:
+        return _NAN
+    if isinstance(key, dict):
+        return tuple((k, _same(v)) for k, v in key.items())
+    return tuple(map(_same, key)) if isinstance(key, (list, tuple)) else key
 
 
 def _combined(pairs: Iterable[Pair], combiner: Callable[[Any, list], Iterable[Pair]] | None, buffer: int) -> Iterator[Pair]:
@@ -52,10 +68,10 @@ def _combined(pairs: Iterable[Pair], combiner: Callable[[Any, list], Iterable[Pa
         if len(held) < COMBINE_FROM:
             yield from held
         else:
-            by_key: dict[Any, list] = {}
+            by_key: dict[Any, tuple[Any, list]] = {}
             for k, v in held:
-                by_key.setdefault(k, []).append(v)
-            for k, values in by_key.items():
+                by_key.setdefault(_same(k), (k, []))[1].append(v)
+            for k, values in by_key.values():
                 yield from combiner(k, values)
         held.clear()
 
@@ -77,15 +93,17 @@ def map_phase(
     """Key-value rows that process(*record) gives for each record of df; schema names and types key and value.
 
     skip(*record) true: the record is left out. combiner(key, values) sees what a task gave, buffer pairs at a time,
-    grouped by key, and gives pairs instead. Nulls come as None (a NaN too). An error in a function fails the job.
+    grouped by key, and gives pairs instead. Nulls come as None, NaN as NaN, bigints exactly. Timestamps come with the
+    zone UTC. An error in a function fails the job.
     """
     out = _schema(schema, df.sparkSession)
+    arrow = to_arrow_schema(out)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs = (p for r in _records(frames) if not (skip and skip(*r)) for p in process(*r))
-        yield from _frames(_combined(pairs, combiner, buffer), out.names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = (p for r in _records(batches) if not (skip and skip(*r)) for p in process(*r))
+        yield from _batches(_combined(pairs, combiner, buffer), arrow)
 
-    return df.mapInPandas(run, out)
+    return df.mapInArrow(run, out)
 
 
 def reduce_phase(
@@ -99,16 +117,22 @@ def reduce_phase(
 
     A task reads its keys in order and hands values on as they come, so a key's values need not fit in memory; they
     come ordered by `order`, if given. skip(key, value) true: that value is left out; a key without values left isn't
-    processed.
+    processed. Null is a key, and so is NaN.
     """
     out = _schema(schema, df.sparkSession)
+    arrow = to_arrow_schema(out)
     key, value = df.columns[:2]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs = (r[:2] for r in _records(frames) if not (skip and skip(*r[:2])))
-        yield from _frames((row for k, group in groupby(pairs, key=lambda p: p[0]) for row in process(k, (v for _, v in group))), out.names)
+    def groups(pairs: Iterator[Pair]) -> Iterator[tuple]:
+        for _, group in groupby(pairs, key=lambda p: _same(p[0])):
+            first = next(group)
+            yield from process(first[0], (v for _, v in chain([first], group)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = (r[:2] for r in _records(batches) if not (skip and skip(*r[:2])))
+        yield from _batches(groups(pairs), arrow)
 
-    return df.select(key, value, *[c for c in order if c not in (key, value)]).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, out)
+    return df.select(key, value, *[c for c in order if c not in (key, value)]).repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, out)
 
 
 def map_reduce(
@@ -168,7 +192,8 @@ def split_job(spark: SparkSession, items: Sequence[Any], work: Callable[[Any], A
     """item, result: each item is a task of its own, spread by hash; failed tasks are tried again by Spark."""
     df = spark.createDataFrame([(i,) for i in items], T.StructType([T.StructField("item", item_type)])).repartition(max(1, min(len(items), 200)), "item")
     out = T.StructType([T.StructField("item", item_type), T.StructField("result", result_type)])
-    return df.mapInPandas(lambda frames: _frames(((r[0], work(r[0])) for r in _records(frames)), out.names), out)
+    arrow = to_arrow_schema(out)
+    return df.mapInArrow(lambda batches: _batches(((r[0], work(r[0])) for r in _records(batches)), arrow), out)
 
 
 def aggregate_results(results: DataFrame, fold: Callable[[list], Any]) -> Any:

@@ -156,6 +156,16 @@ def op_map_with_skip(spark: SparkSession, d: str) -> DataFrame:
     return mapped.groupBy("priority", "digit").agg(F.count(F.lit(1)).alias("n"))
 
 
+def op_map_with_nulls(spark: SparkSession, d: str) -> DataFrame:
+    """A bigint far beyond 2^53 beside nulls and NaN, through a map and a reduce."""
+    big = F.lit((1 << 60) + 1) + F.col("o_orderkey")
+    share = F.when(F.col("o_orderkey") % 5 == 1, F.lit(float("nan"))).when(F.col("o_orderkey") % 5 != 2, F.col("o_totalprice"))
+    rows = table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 3 != 0, big).alias("id"), share.alias("price"))
+    mapped = mapreduce.map_phase(rows, lambda i, p: [(p, i)], "price double, id bigint")
+    reduced = mapreduce.reduce_phase(mapped, lambda p, ids: [(p, i) for i in ids], "price double, id bigint")
+    return reduced.select("id", F.coalesce(F.col("price").cast("string"), F.lit("none")).substr(1, 3).alias("kind"), F.nanvl("price", F.lit(-1.0)).alias("price"))
+
+
 def op_reduced_map(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select("o_custkey", "o_orderkey")
     return mapreduce.reduced_map(rows, lambda k, values: [(len(list(values)), k)], "n bigint, o_custkey bigint")
@@ -339,7 +349,7 @@ def op_stream_page_views(spark: SparkSession, d: str) -> DataFrame:
 
 
 _NAMED = (
-    op_multi_get, op_prefix_scan, op_put_replaces, op_remove, op_map_reduce_page_views, op_map_with_skip, op_reduced_map, op_output_keys,
+    op_multi_get, op_prefix_scan, op_put_replaces, op_remove, op_map_reduce_page_views, op_map_with_skip, op_map_with_nulls, op_reduced_map, op_output_keys,
     op_hidden_join_is_local, op_partitioned_by, op_two_phase_stddev, op_two_phase_view, op_two_phase_scalar, op_two_phase_csv, op_plain_hash,
     op_overlap_ratio, op_multi_key_copies, op_missing_keys, op_complete_references, op_no_copy_without_reason, op_catalog_masters,
     op_csv_round_trip, op_pick_fields, op_composite_key, op_text_functions, op_hashes, op_hash_buckets, op_kmeans_assign, op_kmeans_means,
@@ -378,6 +388,9 @@ SQL: dict[str, str] = {
     "op_map_reduce_page_views": SAME_SQL["op_page_views"],
     "op_stream_page_views": SAME_SQL["op_page_views"],
     "op_map_with_skip": "select substring(o_orderpriority, 3) as priority, o_custkey % 10 as digit, count(*) as n from orders where o_orderpriority not like '5%' group by 1, 2",
+    "op_map_with_nulls": """select case when o_orderkey % 3 <> 0 then 1152921504606846977 + o_orderkey end as id,
+      case when o_orderkey % 5 = 1 then 'NaN' when o_orderkey % 5 = 2 then 'non' else substring(cast(o_totalprice as varchar), 1, 3) end as kind,
+      case when o_orderkey % 5 = 1 then -1.0 when o_orderkey % 5 <> 2 then o_totalprice end as price from orders""",
     "op_reduced_map": "select count(*) as n, o_custkey from orders group by o_custkey",
     "op_output_keys": "select distinct o_orderpriority from orders",
     "op_partitioned_by": " union all ".join(f"select '{t}' as name, count(*) as n from {t}" for t in ("lineitem", "orders", "customer", "nation")),

@@ -1,5 +1,6 @@
 """Key-value store, map-reduce, k-means, text in and out, functions, flow language, command line, streams, entry."""
 
+import math
 import random
 from collections import Counter
 
@@ -117,6 +118,22 @@ def test_reduce_streams_values_skips_and_orders(spark):
     assert {r["k"]: r["s"] for r in grouped.collect()}["a"] == 4
 
 
+def test_large_numbers_nulls_and_nan_stay_as_they_are(spark):
+    big, nan = 2**60 + 1, float("nan")
+    df = spark.createDataFrame([(big, 1.5, "a"), (None, nan, None), (big, None, "a")], "k long, x double, s string").coalesce(1)
+    rows = mapreduce.map_phase(df, lambda k, x, s: [(k, x)], "k long, x double").collect()
+    assert [r["k"] for r in rows] == [big, None, big] and rows[2]["x"] is None and math.isnan(rows[1]["x"])
+    sums = mapreduce.reduce_phase(df.select("k", "x"), lambda k, xs: [(k, sum(x is not None for x in xs))], "k long, n long")
+    assert sorted(map(tuple, sums.collect()), key=str) == [(big, 1), (None, 1)]
+    floats = spark.createDataFrame([(nan, 1), (nan, 2), (None, 3), (0.5, 4)] * 300, "k double, v long")
+    add = lambda k, vs: [(k, sum(vs))]
+    got = mapreduce.map_reduce(floats, lambda k, v: [(k, v)], "k double, v long", add, "k double, v long", combiner=add).collect()
+    assert sorted((str(r["k"]), r["v"]) for r in got) == [("0.5", 1200), ("None", 900), ("nan", 900)]
+    lists = spark.createDataFrame([([1, None], 1), ([1, None], 2), ([], 3)] * 300, "k array<long>, v long")
+    got = mapreduce.map_reduce(lists, lambda k, v: [(k, v)], "k array<bigint>, v long", add, "k array<bigint>, v long", combiner=add).collect()
+    assert sorted((str(r["k"]), r["v"]) for r in got) == [("[1, None]", 900), ("[]", 900)]
+
+
 def test_errors_fail_and_bad_records_become_null(spark):
     df = spark.createDataFrame([("1",), ("x",)], "v string")
     with pytest.raises(Exception, match="invalid literal"):
