@@ -54,6 +54,11 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_tables() -> list[tuple[SparkSession, str]]:
+    """Session and path of every staged table that is still there."""
+    return list(_staged)
+
+
 def release_staged() -> None:
     """Delete every staged table. DataFrames that still read one fail afterwards."""
     releases.append(len(_staged))

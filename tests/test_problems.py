@@ -7,13 +7,16 @@ from statistics import median
 import numpy as np
 import pytest
 from conftest import same
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fragsql.operators.eager_join import eager_join_aggregate
-from fragsql.operators.positions import exact_median, with_positions
+from fragsql.operators.positions import exact_median, number_rows, with_positions
 from fragsql.operators.rolling import rolling_totals
 from fragsql.operators.spikes import clock_fault, measurement_faults, phase_space_faults, phase_space_spikes
 from fragsql.queries import problems
+from fragsql.runtime import staged_tables
 
 
 @pytest.mark.parametrize("name", sorted(problems.SQL))
@@ -72,11 +75,34 @@ def test_positions_and_median(spark, seed):
         assert {r["n"] for r in got if r["g"] == g} == {len(mine)}
     meds = {r["g"]: r["median"] for r in exact_median(df, ["g"], "v").collect()}
     assert meds == {g: median(v for x, _, v in rows if x == g) for g in ("hot", "b", None)}
+    assert exact_median(df.where("false"), ["g"], "v").count() == 0
     assert with_positions(df.where("false"), ["g"], ["t"]).count() == 0
     with pytest.raises(ValueError):
         with_positions(df.withColumnRenamed("v", "pos"), ["g"], ["t"])
 
 
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.one_of(st.none(), st.sampled_from([0.0, -0.0, 1.0, 1.0000001, -1e308, 1e-300, float("inf")]), st.floats(-5, 5))), max_size=60))
+@settings(max_examples=3, deadline=None)
+def test_median_of_any_numbers(spark, rows):
+    got = {r["g"]: r["m"] for r in exact_median(spark.createDataFrame(rows, "g string, v double").repartition(3), ["g"], "v", "m").collect()}
+    want = {g: [v for x, v in rows if x == g and v is not None] for g in {g for g, _ in rows}}
+    assert {g: m + 0.0 for g, m in got.items()} == {g: median(vs) + 0.0 for g, vs in want.items() if vs}
+
+
+def test_median_of_a_hot_value_keeps_partitions_even(spark):
+    df = spark.range(0, 40_000, 1, 8).select(F.lit("node").alias("g"), F.when(F.col("id") % 10 != 0, 0.0).otherwise(F.rand(1)).alias("v"))
+    assert [r["median"] for r in exact_median(df, ["g"], "v").collect()] == [0.0]
+    # of the 36,000 equal values a row a task moves, and one is left to be sorted
+    near = [t for _, t in staged_tables() if "fragsql-near" in t]
+    assert spark.read.parquet(near[-1]).count() == 1
+
+
+def test_rows_are_numbered_in_their_order(spark):
+    df = spark.range(0, 1000, 1, 7).orderBy(F.col("id").desc())
+    assert [r["row"] for r in number_rows(df).orderBy(F.col("id").desc()).collect()] == list(range(1, 1001))
+    assert number_rows(df.where("false")).count() == 0
+
+
 def brute_faults(rows):
     """The fixed rules, one series at a time."""
     out = set()
