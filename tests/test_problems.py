@@ -243,3 +243,13 @@ def test_phase_space_of_series_that_stand_still_mostly():
     assert {30, 150} <= set(np.flatnonzero(phase_space_spikes(levels)))
     short = np.array([0.1, 0.1, 0.1, 0.9])  # why p5_found isn't derived from the method's marks
     assert not phase_space_spikes(short).any() and (3, "jump") in brute_faults([(i, "a", i, x) for i, x in enumerate(short)])
+
+
+def test_phase_space_cannot_give_the_jumps_of_the_plain_rule(spark):
+    """A load that shows two steps: its usual step is 0, so by the rule two of five readings jump, but quartiles count
+    both levels as normal. No ellipsoid with quartile spreads leaves so many of its own readings outside."""
+    rows = [(i, "a", i * 300_000, 0.5 if i % 5 > 2 else 0.2) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, node string, t long, v double")
+    jumps = {r["id"] for r in measurement_faults(df, "id", "node", "t", ["v"]).collect()}
+    marks = {r["id"] for r in phase_space_faults(df, "id", "node", "t", ["v"]).collect()}
+    assert len(jumps) == 202 and not marks  # two of five, and two more at the ends
