@@ -14,6 +14,8 @@ HIDDEN = "_hidden"
 SHARD = "_shard"
 #: Bits of a non-negative INT.
 MOST_TABLES = 31
+#: After a table's name: its copies placed by a key to itself, and those kept beside rows that refer to them.
+SELF, KEPT = "@self", "@kept"
 
 
 @dataclass(frozen=True)
@@ -48,18 +50,29 @@ class Catalog:
     states: dict[str, NodeState] = field(default_factory=dict)
 
     def register(self, specs: Iterable[TableSpec]) -> list[int]:
-        """Ids of the tables, given in order of registration from 1; a table registered before keeps its id."""
+        """Ids of the tables, given in order of registration from 1; a table registered before keeps its id.
+
+        A table that refers to itself takes two more ids: one for the copies placed by that key, one for those kept
+        beside rows that refer to them. Its own bit then still finds every row once.
+        """
         out = []
         for spec in specs:
             name = spec.name.lower()
-            if name not in self.ids:
-                if len(self.ids) == MOST_TABLES:
-                    raise ValueError(f"no more than {MOST_TABLES} tables")
-                self.ids[name] = len(self.ids) + 1
+            itself = [name + SELF, name + KEPT] if any(to.lower() == name for _, to in spec.fks) else []
+            for n in (name, *itself):
+                if n not in self.ids:
+                    if len(self.ids) == MOST_TABLES:
+                        raise ValueError(f"no more than {MOST_TABLES} tables")
+                    self.ids[n] = len(self.ids) + 1
             self.specs[name] = spec
             out.append(self.ids[name])
         return out
 
+    def key_bit(self, table: str, to: str, suffix: str = "") -> int:
+        """The bit of the copies of table placed by a foreign key to another, or to itself."""
+        own = table.lower() == to.lower()
+        return 1 << (self.ids[table.lower() + (suffix or SELF)] - 1) if own else self.bit(to)
+
     def spec(self, table: str) -> TableSpec:
         if table.lower() not in self.specs:
             raise KeyError(f"table {table} isn't registered")
@@ -91,15 +104,16 @@ class Catalog:
         primary key whatever its columns.
         """
         spec, out = self.spec(table), []
-        keys = [(tuple(x.lower() for x in cols), to) for cols, to in ((spec.pk, spec.name), *spec.fks)]
+        keys = [(spec.pk, self.bit(spec.name)), *((cols, self.key_bit(spec.name, to)) for cols, to in spec.fks)]
+        keys = [(tuple(x.lower() for x in cols), b) for cols, b in keys]
         for c in (c.lower() for c in columns):
-            found = [to for cols, to in keys if cols == (c,)] or [to for cols, to in keys if c in cols]
+            found = [b for cols, b in keys if cols == (c,)] or [b for cols, b in keys if c in cols]
             if c == "primarykey":
-                found = [spec.name]
+                found = [self.bit(spec.name)]
             if not found:
                 raise ValueError(f"{c} is no key of {table}")
-            if (b := self.bit(found[0])) not in out:
-                out.append(b)
+            if found[0] not in out:
+                out.append(found[0])
         return out
 
     def add_node(self, node: str, master: str | None = None, distkey: str = "", state: NodeState = NodeState.NORMAL) -> None:
@@ -127,5 +141,5 @@ class Catalog:
     def tables(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
         """The catalog as tables: (distkey, node, masternode, state) and (tablename, id)."""
         nodes = [(k, n, m, self.states[n].value) for (k, n), m in sorted(self.nodes.items())]
-        ids = [(self.specs[t].name, i) for t, i in self.ids.items()]
+        ids = [(self.specs[t].name if t in self.specs else t, i) for t, i in self.ids.items()]
         return spark.createDataFrame(nodes, "distkey string, node string, masternode string, state smallint"), spark.createDataFrame(ids, "tablename string, id smallint")

@@ -7,16 +7,24 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from enum import Enum
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fragsql.operators.catalog import HIDDEN, SHARD, Catalog, TableSpec
-from fragsql.runtime import stage
+from fragsql.operators.catalog import HIDDEN, KEPT, SHARD, Catalog, TableSpec
+from fragsql.functions.hashes import is_power_of_two
+from fragsql.runtime import bounded_broadcast, stage
 
 
 class Variant(Enum):
-    """Ways to partition that differ in where they keep the foreign key index; results are the same, and spilling is Spark's."""
+    """How the rows of a referenced table meet the index of the foreign keys that refer to them.
+
+    The fragments are the same. normal: as the planner chooses. dist: the index is hashed in every task of a shuffle
+    join. distmm: the index is broadcast, if it is small enough. grace: both sides are cut into buckets by key, sorted
+    and merged, so that neither has to fit in memory. pgrace: the buckets are hashed instead of sorted. mpgrace: as
+    pgrace, from several inputs of a table.
+    """
 
     NORMAL = "normal"
     DISTRIBUTED = "dist"
@@ -26,25 +34,37 @@ class Variant(Enum):
     MULTI_GRACE = "mpgrace"
 
     @classmethod
-    def of(cls, name: str) -> Variant:
+    def of(cls, name: str | Variant) -> Variant:
         """By name in any letter case; `distributed` is dist."""
+        if isinstance(name, cls):
+            return name
         lower = name.lower()
         return cls("dist" if lower == "distributed" else lower)
 
 
-def route(keys: Sequence[str | Column], shards: int) -> Column:
-    """The shard of a key; null if a part of the key is null."""
+def route(keys: Sequence[str | Column], shards: int, by: str = "xxhash64") -> Column:
+    """The shard of a key; null if a part of the key is null.
+
+    by: xxhash64, or sha1: the first eight hex digits of the parts joined with |, as other programs can compute them.
+    """
     cols = [F.col(k) if isinstance(k, str) else k for k in keys]
     some = cols[0].isNull()
     for c in cols[1:]:
         some |= c.isNull()
     # text first, so that keys of different integer types meet in the same shard
-    return F.when(~some, F.pmod(F.xxhash64(*[c.cast("string") for c in cols]), F.lit(shards)).cast("int"))
+    texts = [c.cast("string") for c in cols]
+    if by == "xxhash64":
+        number = F.xxhash64(*texts)
+    elif by == "sha1":
+        number = F.conv(F.substring(F.sha1(F.concat_ws("|", *texts)), 1, 8), 16, 10).cast("long")
+    else:
+        raise ValueError(f"no placement by {by}")
+    return F.when(~some, F.pmod(number, F.lit(shards)).cast("int"))
 
 
-def plain_hash(df: DataFrame, keys: Sequence[str], shards: int) -> DataFrame:
+def plain_hash(df: DataFrame, keys: Sequence[str], shards: int, by: str = "xxhash64") -> DataFrame:
     """One copy of every row, in the shard of its key (0 if the key is null)."""
-    return df.withColumn(SHARD, F.coalesce(route(keys, shards), F.lit(0)))
+    return df.withColumn(SHARD, F.coalesce(route(keys, shards, by), F.lit(0)))
 
 
 def _merged(places: Column) -> Column:
@@ -60,45 +80,94 @@ def _merged(places: Column) -> Column:
     )
 
 
-def fragment(df: DataFrame, spec: TableSpec, catalog: Catalog, shards: int, loaded: Mapping[str, DataFrame] | None = None) -> DataFrame:
+_PLACES = f"array<struct<{SHARD}:int,{HIDDEN}:int>>"
+
+
+def _index(copies: DataFrame, cols: Sequence[str], names: Sequence[str], out: str, bit: int | None = None) -> DataFrame:
+    """For each key that rows of `copies` refer to, the shards in which such rows live, with their bits or the given one."""
+    each = copies.groupBy(*[F.col(c).alias(n) for c, n in zip(cols, names, strict=True)], SHARD).agg((F.bit_or(HIDDEN) if bit is None else F.lit(bit)).alias(HIDDEN))
+    # no more entries than there are shards
+    return each.groupBy(*names).agg(F.collect_list(F.struct(F.col(SHARD), F.col(HIDDEN))).alias(out))
+
+
+def _joined(df: DataFrame, index: DataFrame, names: Sequence[str], pk: Sequence[str], variant: Variant, buckets: int) -> DataFrame:
+    on = F.lit(True)
+    for n, k in zip(names, pk, strict=True):
+        on &= F.col(n) == F.col(k)
+    if variant is Variant.DISTRIBUTED:
+        index = index.hint("shuffle_hash")
+    elif variant is Variant.IN_MEMORY:
+        index = bounded_broadcast(stage(index, "index"))
+    elif variant is not Variant.NORMAL:
+        df, index = df.repartition(buckets, *pk), index.repartition(buckets, *names).hint("merge" if variant is Variant.GRACE else "shuffle_hash")
+    return df.join(index, on, "left").drop(*names)
+
+
+def fragment(
+    df: DataFrame | Sequence[DataFrame],
+    spec: TableSpec,
+    catalog: Catalog,
+    shards: int,
+    loaded: Mapping[str, DataFrame] | None = None,
+    by: str = "xxhash64",
+    variant: str | Variant = Variant.NORMAL,
+    buckets: int = 128,
+) -> DataFrame:
     """df with _shard and _hidden, a row for every shard that a row of df belongs to.
 
     Reasons: its primary key (bit of its own table), each foreign key it holds (bit of the referenced table), and
     each shard in which a row that refers to it lives (the bits of that row there). For the last, `loaded` holds the
-    fragments of the referencing tables, which therefore come first (Catalog.load_order).
+    fragments of the referencing tables, which therefore come first (Catalog.load_order). A table that refers to
+    itself is placed by its keys first and then joined with its own copies until no row comes to a new shard, once
+    for each level of the hierarchy.
 
     The copies of a row are found within the row, without a shuffle; a referenced table is joined once with the
-    shards of its referencing rows, at most one entry per key and shard. A row whose keys are all null goes to
+    shards of its referencing rows, at most one entry per key and shard, in the way that `variant` says (buckets must
+    be a power of two). Several inputs are taken together by column name. A row whose keys are all null goes to
     shard 0 with its table's bit. Repeated rows stay repeated. An empty df gives no rows.
     """
-    own = F.struct(F.coalesce(route(spec.pk, shards), F.lit(0)).alias(SHARD), F.lit(catalog.bit(spec.name)).alias(HIDDEN))
-    places = [own] + [F.struct(route(cols, shards).alias(SHARD), F.lit(catalog.bit(to)).alias(HIDDEN)) for cols, to in spec.fks]
+    variant = Variant.of(variant)
+    if not is_power_of_two(buckets):
+        raise ValueError("buckets must be a power of two")
+    if not isinstance(df, DataFrame):
+        df = reduce(DataFrame.unionByName, df)
+    own = F.struct(F.coalesce(route(spec.pk, shards, by), F.lit(0)).alias(SHARD), F.lit(catalog.bit(spec.name)).alias(HIDDEN))
+    places = [own] + [F.struct(route(cols, shards, by).alias(SHARD), F.lit(catalog.key_bit(spec.name, to)).alias(HIDDEN)) for cols, to in spec.fks]
     out, lists = df.withColumn("__places", F.array(*places)), ["__places"]
+    none = F.array().cast(_PLACES)
+    every = lambda: F.concat(*[F.coalesce(F.col(x).cast(_PLACES), none) for x in lists])
+    itself = []
     for i, (other, cols) in enumerate(catalog.referencing(spec.name)):
+        if other.name == spec.name:
+            itself.append(cols)
+            continue
         if not loaded or other.name not in loaded:
             raise ValueError(f"{other.name} refers to {spec.name} and must be loaded first")
         names = [f"__k{i}_{j}" for j in range(len(cols))]
-        index = (
-            loaded[other.name]
-            .groupBy(*[F.col(c).alias(n) for c, n in zip(cols, names, strict=True)], SHARD)
-            .agg(F.bit_or(HIDDEN).alias(HIDDEN))
-            .groupBy(*names)
-            .agg(F.collect_list(F.struct(F.col(SHARD), F.col(HIDDEN))).alias(f"__places{i}"))
-        )
-        on = F.lit(True)
-        for n, pk in zip(names, spec.pk, strict=True):
-            on &= F.col(n) == F.col(pk)
-        out, lists = out.join(index, on, "left").drop(*names), [*lists, f"__places{i}"]
-    none = F.array().cast(f"array<struct<{SHARD}:int,{HIDDEN}:int>>")
-    every = F.concat(*[F.coalesce(F.col(x).cast(f"array<struct<{SHARD}:int,{HIDDEN}:int>>"), none) for x in lists])
-    return out.withColumn("__at", F.explode(_merged(every))).select(*df.columns, F.col(f"__at.{SHARD}").alias(SHARD), F.col(f"__at.{HIDDEN}").alias(HIDDEN))
-
-
-def fragment_all(tables: Mapping[str, DataFrame], catalog: Catalog, shards: int) -> dict[str, DataFrame]:
-    """Fragments of every registered table, each staged once before the tables it refers to are placed."""
+        out = _joined(out, _index(loaded[other.name], cols, names, f"__places{i}"), names, spec.pk, variant, buckets)
+        lists.append(f"__places{i}")
+    copies = lambda at: at.withColumn("__at", F.explode(F.col("__all"))).select(*df.columns, F.col(f"__at.{SHARD}").alias(SHARD), F.col(f"__at.{HIDDEN}").alias(HIDDEN))
+    out = out.select(*df.columns, _merged(every()).alias("__all"))
+    size = None
+    while itself:  # ends, as a row has no more copies than there are shards, and no more bits than there are tables
+        out = stage(out, "levels")
+        before, size = size, out.agg(F.sum(F.size("__all")), F.sum(F.aggregate("__all", F.lit(0), lambda a, p: a + F.bit_count(p[HIDDEN])))).first()
+        if before == size:
+            break
+        lists, here = ["__all"], copies(out)
+        for j, cols in enumerate(itself):
+            names = [f"__k{j}_{x}" for x in range(len(cols))]
+            out = _joined(out, _index(here, cols, names, f"__self{j}", catalog.key_bit(spec.name, spec.name, KEPT)), names, spec.pk, variant, buckets)
+            lists.append(f"__self{j}")
+        out = out.select(*df.columns, _merged(every()).alias("__all"))
+    return copies(out)
+
+
+def fragment_all(tables: Mapping[str, DataFrame], catalog: Catalog, shards: int, by: str = "xxhash64", variant: str | Variant = Variant.NORMAL) -> dict[str, DataFrame]:
+    """Fragments of every registered table, each staged once, a directory for each shard, before the tables it refers to are placed."""
     out: dict[str, DataFrame] = {}
     for name in catalog.load_order():
-        out[name] = stage(fragment(tables[name], catalog.spec(name), catalog, shards, out), f"fragment-{name}")
+        out[name] = stage(fragment(tables[name], catalog.spec(name), catalog, shards, out, by, variant), f"fragment-{name}", SHARD)
     return out
 
 
@@ -107,7 +176,7 @@ def save_fragments(df: DataFrame, path: str, mode: str = "errorifexists", expect
 
     If the rows written aren't as many as expected, that is an error.
     """
-    df.write.mode(mode).partitionBy(SHARD).parquet(path)
+    df.hint("rebalance", SHARD).write.mode(mode).partitionBy(SHARD).parquet(path)
     if expected is not None and (written := df.sparkSession.read.parquet(path).count()) != expected:
         raise ValueError(f"{written} rows were written to {path}, {expected} were expected")
 
@@ -122,14 +191,14 @@ def any_family(df: DataFrame, bits: int) -> DataFrame:
     return df.where(F.col(HIDDEN).bitwiseAND(F.lit(bits)) != 0)
 
 
-def multi_key_copies(df: DataFrame, keys: Sequence[Sequence[str]], shards: int) -> DataFrame:
+def multi_key_copies(df: DataFrame, keys: Sequence[Sequence[str]], shards: int, by: str = "xxhash64") -> DataFrame:
     """One copy of a row for each different shard that its keys lead to; null keys lead nowhere."""
-    return df.withColumn(SHARD, F.explode(F.array_distinct(F.array_compact(F.array(*[route(k, shards) for k in keys])))))
+    return df.withColumn(SHARD, F.explode(F.array_distinct(F.array_compact(F.array(*[route(k, shards, by) for k in keys])))))
 
 
-def overlap_ratio(df: DataFrame, keys: Sequence[Sequence[str]], shards: int) -> DataFrame:
+def overlap_ratio(df: DataFrame, keys: Sequence[Sequence[str]], shards: int, by: str = "xxhash64") -> DataFrame:
     """n_keys, n_copies, overlap: the share of key placements that another key of the row made needless."""
-    at = F.array_compact(F.array(*[route(k, shards) for k in keys]))
+    at = F.array_compact(F.array(*[route(k, shards, by) for k in keys]))
     sums = df.select(F.size(at).alias("k"), F.size(F.array_distinct(at)).alias("c")).agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n_keys"), F.coalesce(F.sum("c"), F.lit(0)).alias("n_copies"))
     return sums.withColumn("overlap", F.coalesce(F.try_divide(F.col("n_keys") - F.col("n_copies"), F.col("n_keys")), F.lit(0.0)))
 

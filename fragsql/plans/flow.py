@@ -14,7 +14,6 @@ Keywords go in any letter case; -- and /* */ are comments; a closing brace withi
 from __future__ import annotations
 
 import re
-import threading
 import uuid
 from collections.abc import Mapping
 from concurrent.futures import Future, ThreadPoolExecutor
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from fragsql.operators.catalog import SHARD, Catalog
 from fragsql.plans.dialect import normalise
 from fragsql.plans.script import is_select, split_script
-from fragsql.plans.twophase import SOURCE, map_phase, run_script
+from fragsql.plans.twophase import SOURCE, map_phase, run_script, table_views
 from fragsql.sources import configs
 
 DEFAULT = "default"
@@ -199,7 +198,6 @@ class Processor:
         self.shuffled: dict[str, DataFrame] = {}
         self.variables: dict[str, Future] = {}
         self._pool = ThreadPoolExecutor(4)
-        self._views = threading.Lock()  # temporary views belong to the session
 
     def module(self, name: str) -> Module:
         return self.catalogs.setdefault(name, Module())
@@ -237,9 +235,7 @@ class Processor:
 
     def _script(self, body: str) -> DataFrame | None:
         out = None
-        with self._views:
-            for name, df in self.tables.items():
-                df.createOrReplaceTempView(name)
+        with table_views(self.spark, self.tables):
             for s in split_script(body):
                 df = self.spark.sql(normalise(s.strip().rstrip(";")))
                 out = df if is_select(s) else out
@@ -248,8 +244,7 @@ class Processor:
     def _shuffle(self, c: Command, m: Module) -> DataFrame:
         """The query on every partition; its rows are spread over the reducers by hash of keys, or evenly."""
         sharded = m.partitions and any(SHARD in df.columns for df in self.tables.values())
-        with self._views:
-            out = map_phase(self.spark, c.body, self.tables, len(m.partitions) if sharded else None, self.fragments)
+        out = map_phase(self.spark, c.body, self.tables, len(m.partitions) if sharded else None, self.fragments)
         number = c.properties.get("num_reducers") or len(m.reducers)
         keys = c.properties.get("keys", [])
         if number or keys:
@@ -264,9 +259,7 @@ class Processor:
         if SOURCE in c.body and c.catalog not in self.shuffled:
             raise FlowError("nothing has been shuffled yet")
         view = f"shuffle_{uuid.uuid4().hex}"
-        with self._views:
-            for name, df in self.tables.items():
-                df.createOrReplaceTempView(name)
+        with table_views(self.spark, self.tables):
             if c.catalog in self.shuffled:
                 self.shuffled[c.catalog].createOrReplaceTempView(view)
             return run_script(self.spark, c.body.replace(SOURCE, f"`{view}`"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import threading
 import time
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager, suppress
 from dataclasses import dataclass, field
 from enum import Enum
+from functools import reduce
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +20,7 @@ from fragsql.operators.catalog import SHARD, Catalog
 from fragsql.plans.dialect import add_view_drop, normalise
 from fragsql.plans.keyed import rewrite
 from fragsql.plans.script import validate_script
+from fragsql.runtime import stage_side_by_side
 from fragsql.sources.csvio import write_csv_file
 
 #: Stands for the results of the map phase (in a reduce query) or of the first job (in a map query).
@@ -57,25 +62,52 @@ def run_script(spark: SparkSession, sql: str, catalog: Catalog | None = None) ->
     return out
 
 
-def _with_views(spark: SparkSession, tables: Mapping[str, DataFrame], shard: int | None) -> None:
-    for name, df in tables.items():
-        (df if shard is None or SHARD not in df.columns else df.where(F.col(SHARD) == shard)).createOrReplaceTempView(name)
+#: Views are found by name in the session while a query is analyzed; one call at a time may put its tables there.
+_views = threading.RLock()
+#: Map queries of up to so many shards form one plan; those of more are planned and run one by one, side by side.
+UNION_SHARDS = 8
+
+
+@contextmanager
+def table_views(spark: SparkSession, tables: Mapping[str, DataFrame]) -> Iterator[Callable[[int | None], None]]:
+    """The tables as temporary views, whole or of one shard; afterwards the session has the views it had before."""
+
+    def show(shard: int | None) -> None:
+        for name, df in tables.items():
+            (df if shard is None or SHARD not in df.columns else df.where(F.col(SHARD) == shard)).createOrReplaceTempView(name)
+
+    with _views:
+        before = {}
+        for name in tables:
+            with suppress(AnalysisException):
+                if spark.catalog.getTable(name).isTemporary:
+                    before[name] = spark.table(name)
+        try:
+            show(None)
+            yield show
+        finally:
+            for name in tables:
+                if name in before:
+                    before[name].createOrReplaceTempView(name)
+                else:
+                    spark.catalog.dropTempView(name)
 
 
 def map_phase(spark: SparkSession, map_sql: str, tables: Mapping[str, DataFrame], shards: int | None = None, catalog: Catalog | None = None) -> DataFrame:
     """The map query over each shard of the fragmented tables, put together with UNION ALL.
 
     shards None: one map query over the tables as they are. Tables without _shard are seen whole by every shard. The
-    union is one lazy plan: Spark runs all shards' scans side by side in one job, and the filter on _shard prunes
-    directories where the fragments were saved by save_fragments. The catalog's names are registered as temporary
-    views for the time of the analysis.
+    filter on _shard prunes directories where the fragments were staged or saved by shard, so all shards together
+    read the tables once. Up to UNION_SHARDS shards the union is one lazy plan. Beyond that, each shard's query is a
+    plan of its own, as large as the query whatever the number of shards; UNION_SHARDS of them run at a time, and
+    their results are staged and read as one table.
     """
-    out = None
-    for i in [None] if shards is None else range(shards):
-        _with_views(spark, tables, i)
-        one = run_script(spark, map_sql, catalog)
-        out = one if out is None else out.union(one)
-    return out
+    parts = []
+    with table_views(spark, tables) as show:
+        for i in [None] if shards is None else range(shards):
+            show(i)
+            parts.append(run_script(spark, map_sql, catalog))
+    return reduce(DataFrame.union, parts) if len(parts) <= UNION_SHARDS else stage_side_by_side(parts, "mapped", UNION_SHARDS)
 
 
 def execute(
@@ -107,8 +139,8 @@ def execute(
     view = f"map_{uuid.uuid4().hex}"
     map_phase(spark, map_sql, tables, shards, catalog).createOrReplaceTempView(view)
     seconds["map plan"] = time.monotonic() - began
-    _with_views(spark, tables, None)
-    df = run_script(spark, reduce_sql.replace(SOURCE, f"`{view}`"))
+    with table_views(spark, tables):
+        df = run_script(spark, reduce_sql.replace(SOURCE, f"`{view}`"))
     if output is Output.VIEW:
         df.createOrReplaceTempView(name or view + "_out")
         value = name or view + "_out"

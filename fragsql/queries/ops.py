@@ -14,7 +14,7 @@ from fragsql.operators import fragment as fr
 from fragsql.operators import kmeans, mapreduce
 from fragsql.operators.catalog import HIDDEN, SHARD
 from fragsql.operators.kv import KVStore
-from fragsql.plans.twophase import execute, run_script
+from fragsql.plans.twophase import execute, run_script, table_views
 from fragsql.queries.tpch import SHARDS, catalog, fragments, tables
 from fragsql.runtime import shared_dir, stage, table
 from fragsql.sources import csvio
@@ -70,10 +70,8 @@ SAME_SQL = {
 
 def _same(sql: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        for name, df in tables(spark, d).items():
-            df.createOrReplaceTempView(name)
-        table(spark, d, "access_log").createOrReplaceTempView("access_log")
-        return run_script(spark, sql)
+        with table_views(spark, tables(spark, d) | {"access_log": table(spark, d, "access_log")}):
+            return run_script(spark, sql)
 
     return run
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fragsql.operators.catalog import Catalog, TableSpec
 from fragsql.operators.fragment import fragment_all
-from fragsql.plans.twophase import execute, run_script
+from fragsql.plans.twophase import execute, run_script, table_views
 from fragsql.runtime import releases, table
 
 PARTSUPP = """select l_partkey as ps_partkey, l_suppkey as ps_suppkey, cast(sum(l_quantity) as double) as ps_availqty,
@@ -50,8 +50,7 @@ def catalog() -> Catalog:
 
 def tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     out = {name: table(spark, d, name) for name in BASE}
-    out["lineitem"].createOrReplaceTempView("lineitem")
-    return out | {"partsupp": spark.sql(PARTSUPP)}
+    return out | {"partsupp": spark.sql(PARTSUPP.replace("from lineitem", "from {items}"), items=out["lineitem"])}
 
 
 _NET = "l_extendedprice * (1 - l_discount)"
@@ -332,22 +331,21 @@ from <src> group by l_returnflag, l_linestatus order by l_returnflag, l_linestat
 }
 
 SHARDS = 3
-_fragments: dict[tuple[str, str, int, int], dict[str, DataFrame]] = {}
+_fragments: dict[tuple[str, str, int, str, int], dict[str, DataFrame]] = {}
 
 
-def fragments(spark: SparkSession, d: str, shards: int = SHARDS) -> dict[str, DataFrame]:
+def fragments(spark: SparkSession, d: str, shards: int = SHARDS, by: str = "xxhash64") -> dict[str, DataFrame]:
     """The tables of d in fragments, staged once for a session."""
-    key = (spark.sparkContext.applicationId, d, shards, len(releases))
+    key = (spark.sparkContext.applicationId, d, shards, by, len(releases))
     if key not in _fragments:
-        _fragments[key] = fragment_all(tables(spark, d), catalog(), shards)
+        _fragments[key] = fragment_all(tables(spark, d), catalog(), shards, by)
     return _fragments[key]
 
 
 def plain(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        for t, df in tables(spark, d).items():
-            df.createOrReplaceTempView(t)
-        return run_script(spark, PAIRS[name].plain)
+        with table_views(spark, tables(spark, d)):
+            return run_script(spark, PAIRS[name].plain)
 
     return run
 

@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast once it has been counted.
+#: Rows and bytes (of its rows as JSON text) up to which a side may be broadcast once it has been measured.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 _staged: list[tuple[SparkSession, str]] = []
-#: How many tables each call of release_staged() had to delete.
+#: How many tables each call of release_staged() or end of staging() had to delete.
 releases: list[int] = []
 
 
@@ -32,9 +37,14 @@ def session(app: str = "fragsql", cores: int | str = "*", shuffle_partitions: in
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Only a local session, whose one process is its own cluster, gets a temporary folder where that is unset.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="fragsql-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         path = "file://" + folder
@@ -42,18 +52,45 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+def stage(df: DataFrame, name: str = "stage", partition_by: str | None = None) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage is cut, and lost executors cost nothing.
 
-    The files stay until release_staged() or the end of the Python process.
+    partition_by: a directory for each value of this column, so that a filter on it reads no other; rows of a value
+    are brought together first, those of a large one in several tasks. The files stay until release_staged(), the end
+    of the surrounding staging() or the end of the Python process.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fragsql-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = (df.hint("rebalance", partition_by) if partition_by else df).write.option("compression", "zstd")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     _staged.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_side_by_side(parts: Sequence[DataFrame], name: str, at_once: int) -> DataFrame:
+    """All rows of parts of the same columns (by position), each part written by a job of its own, at_once at a time."""
+    spark, names, plain = parts[0].sparkSession, parts[0].columns, [f"c{i}" for i in range(len(parts[0].columns))]
+    path = f"{shared_dir(spark)}/fragsql-{name}-{uuid.uuid4().hex}"
+    _staged.append((spark, path))
+    folders = [f"{path}/{i}" for i in range(len(parts))]
+    with ThreadPoolExecutor(at_once) as pool:
+        list(pool.map(lambda x: x[0].toDF(*plain).write.option("compression", "zstd").parquet(x[1]), zip(parts, folders, strict=True)))
+    return spark.read.schema(parts[0].toDF(*plain).schema).parquet(*folders).toDF(*names)
+
+
+@contextmanager
+def staging() -> Iterator[None]:
+    """Delete what was staged within as soon as the block ends: with staging(): query(spark, d).write..."""
+    before = set(_staged)
+    try:
+        yield
+    finally:
+        mine = [x for x in _staged if x not in before]
+        _staged[:] = [x for x in _staged if x in before]
+        releases.append(len(mine))
+        _delete(mine)
+
+
 def staged_tables() -> list[tuple[SparkSession, str]]:
     """Session and path of every staged table that is still there."""
     return list(_staged)
@@ -62,8 +99,12 @@ def staged_tables() -> list[tuple[SparkSession, str]]:
 def release_staged() -> None:
     """Delete every staged table. DataFrames that still read one fail afterwards."""
     releases.append(len(_staged))
-    while _staged:
-        spark, path = _staged.pop()
+    gone, _staged[:] = list(_staged), []
+    _delete(gone)
+
+
+def _delete(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in tables:
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
@@ -75,12 +116,13 @@ def release_staged() -> None:
 atexit.register(release_staged)
 
 
-def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark df for broadcast if it has at most so many rows; else leave the join to the planner.
+def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark df for broadcast if it has at most so many rows and so many bytes; else leave the join to the planner.
 
-    df should be a staged table, since it is counted here.
+    df should be a staged table, since it is measured here.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    measured = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if measured[0] <= rows and measured[1] <= size else df
 
 
 def shuffle_partitions(spark: SparkSession, times: int = 1) -> int:

@@ -1,6 +1,7 @@
 """Scripts, dialect, key annotation, two-phase execution, fragments and the catalog."""
 
 import random
+from types import SimpleNamespace
 
 import pytest
 from conftest import same
@@ -15,7 +16,7 @@ from fragsql.plans.keyed import rewrite
 from fragsql.plans.script import first_select, index_of_select, split_script, tokens, validate_script
 from fragsql.plans.twophase import Output, execute
 from fragsql.queries import ops, tpch
-from fragsql.runtime import bounded_broadcast, release_staged, stage
+from fragsql.runtime import bounded_broadcast, release_staged, shared_dir, stage, staging
 
 # -- scripts ----------------------------------------------------------------------------------------------------------
 
@@ -157,6 +158,75 @@ def test_saved_fragments_are_pruned(spark, data, tmp_path):
     assert "PartitionFilters: [isnotnull(_shard" in plan
 
 
+@pytest.mark.parametrize("shards", [2, 5])
+def test_table_that_refers_to_itself(spark, shards):
+    c = Catalog()
+    c.register([TableSpec("emp", ("id",), ((("boss",), "emp"), (("dept",), "dept"))), TableSpec("dept", ("dept",))])
+    rnd = random.Random(shards)
+    rows = [(i, rnd.choice([None, rnd.randrange(i), i // 2]) if i else None, rnd.choice([None, 1, 2, 3])) for i in range(60)] + [(7, 3, 1), (70, 70, 2)]
+    emp = spark.createDataFrame(rows, "id int, boss int, dept int")
+    got = fr.fragment_all({"emp": emp, "dept": spark.createDataFrame([(1,), (2,), (3,)], "dept int")}, c, shards)["emp"]
+    plain = lambda df: sorted(map(repr, df.drop(SHARD, HIDDEN).collect()))
+    assert plain(fr.family(got, c.bit("emp"))) == plain(emp)
+    assert plain(fr.family(got, c.bits_of("emp", ["boss"])[0])) == plain(emp.where("boss is not null"))
+    assert plain(fr.family(got, c.bits_of("emp", ["dept"])[0])) == plain(emp.where("dept is not null"))
+    # the boss of every copy, and that one's boss, are in the same shard
+    boss = got.select(F.col(SHARD).alias("s2"), F.col("id").alias("k2"))
+    assert got.where("boss is not null").join(boss, (F.col(SHARD) == F.col("s2")) & (F.col("boss") == F.col("k2")), "left_anti").count() == 0
+    assert fr.fragment(emp.where("false"), c.spec("emp"), c, shards).count() == 0
+    assert dict(c.tables(spark)[1].collect())["emp@self"] == 2
+
+
+@pytest.mark.parametrize("variant", list(fr.Variant))
+def test_variants_give_the_same_fragments(spark, variant):
+    c = Catalog()
+    c.register([TableSpec("ord", ("o",), ((("c",), "cust"),)), TableSpec("cust", ("c",))])
+    orders = spark.createDataFrame([(o, o % 7 if o % 5 else None) for o in range(80)], "o int, c int")
+    customers = spark.createDataFrame([(k,) for k in range(9)], "c int")
+    loaded = {"ord": fr.fragment(orders, c.spec("ord"), c, 3)}
+    want = fr.fragment(customers, c.spec("cust"), c, 3, loaded)
+    source = [customers.where("c < 4"), customers.where("c >= 4")] if variant is fr.Variant.MULTI_GRACE else customers
+    got = fr.fragment(source, c.spec("cust"), c, 3, loaded, variant=variant, buckets=4)
+    assert sorted(got.collect()) == sorted(want.collect())
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    hints = {"dist": "shuffle_hash", "distmm": "broadcast", "grace": "merge", "pgrace": "shuffle_hash", "mpgrace": "shuffle_hash"}
+    assert variant is fr.Variant.NORMAL or f"strategy={hints[variant.value]}" in plan
+    assert ("RepartitionByExpression" in plan) == ("grace" in variant.value)
+    with pytest.raises(ValueError):
+        fr.fragment(customers, c.spec("cust"), c, 3, loaded, buckets=3)
+
+
+def test_many_shards_are_planned_one_by_one_and_read_once(spark, data):
+    parts = tpch.fragments(spark, data, 20)
+    spark.range(3).createOrReplaceTempView("orders")  # the caller's own view of that name
+    sql = "select o_orderstatus as s, count(*) as n from orders where orders partitioned by (primarykey) group by o_orderstatus"
+    out = execute(spark, sql, "select s, sum(n) as n from <src> group by s", parts, 20, tpch.catalog()).value
+    assert {r["s"]: r["n"] for r in out.collect()} == {r["o_orderstatus"]: r["count"] for r in tpch.tables(spark, data)["orders"].groupBy("o_orderstatus").count().collect()}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and spark.table("orders").count() == 3
+    spark.catalog.dropTempView("orders")
+    shard = parts["orders"].where(F.col(SHARD) == 4)
+    assert "PartitionFilters: [isnotnull(_shard" in shard._jdf.queryExecution().executedPlan().toString()
+    assert not [t for t in spark.catalog.listTables() if t.isTemporary and t.name in parts]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        get = staticmethod(lambda key, default: default)
+
+    fake = SimpleNamespace(conf=Conf, sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(fake)
+
+
+def test_staging_ends_with_its_block(spark):
+    with staging():
+        df = stage(spark.range(5))
+        assert df.count() == 5
+    with pytest.raises(Exception, match="[Nn]ot.exist|NOT_FOUND|FAILED_READ_FILE"):
+        df.collect()
+
+
 def test_variants():
     assert fr.Variant.of("GRACE") is fr.Variant.GRACE and fr.Variant.of("distributed") is fr.Variant.DISTRIBUTED and fr.Variant.of("MPgrace") is fr.Variant.MULTI_GRACE
     with pytest.raises(ValueError):
@@ -177,6 +247,8 @@ def test_broadcast_is_size_checked(spark):
     small, large = stage(spark.range(5)), stage(spark.range(50).withColumnRenamed("id", "k"))
     plan = lambda df: df._jdf.queryExecution().logical().toString()
     assert "Hint" in plan(bounded_broadcast(small, 5)) and "Hint" not in plan(bounded_broadcast(large, 5))
+    wide = stage(spark.range(3).select(F.repeat(F.lit("x"), 1000).alias("t")))
+    assert "Hint" in plan(bounded_broadcast(wide)) and "Hint" not in plan(bounded_broadcast(wide, size=2000))
 
 
 def test_shard_stats(spark):
