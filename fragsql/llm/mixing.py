@@ -15,8 +15,13 @@ from fragsql.runtime import bounded_broadcast, stage
 
 
 class Prepared(NamedTuple):
-    docs: DataFrame  # id, source_key, n_tokens, copies and record, a struct of all columns (without the text, if not kept)
+    docs: DataFrame  # id, source_key, n_tokens, copies and record, a struct of all columns; read from the input itself
     plan: DataFrame  # a row for each source of the target
+    sizes: DataFrame  # source_key, n_tokens, copies: staged, a few bytes a record
+
+
+#: A size for prepare(): the largest at which every source can have its share.
+REACHABLE = "reachable"
 
 
 def source_key(source: str | Column) -> Column:
@@ -78,14 +83,14 @@ def prepare(
     source: str = "source",
     share: str = "target_share",
     cap: str = "max_repeats",
-    size: int | None = None,
+    size: int | str | None = None,
     seed: int = 0,
-    keep_text: bool = True,
     vocabulary: str = VOCABULARY,
 ) -> Prepared:
     """Measure df and decide how often each record is used.
 
-    A mixture of `size` tokens (default: all texts together) needs share * size tokens of a source, which has
+    Only sizes are staged, not texts. A mixture of `size` tokens (default: all texts together; REACHABLE: as many of
+    them as allow every source its share at its cap, so that the shares reached meet the targets) needs share * size tokens of a source, which has
     available tokens: each of its records is used rate = needed / available times on average, at most `cap` times.
     The number of uses is a Poisson number, inverted at a uniform number hashed from seed and id, cut at the cap; its
     mean is set so that the cut number has the mean rate. As few long records can carry a source far from its share,
@@ -98,13 +103,16 @@ def prepare(
     in the target, the one with the largest share counts. Rows with the same id are used equally often. Empty tables
     give empty results. Columns of df come back in a struct, so that their names can't clash.
     """
-    record = F.struct(*[F.col(c) for c in df.columns if keep_text or c != text])
-    sized = df.select(F.col(id_).alias("id"), source_key(source).alias("source_key"), token_count(text, vocabulary).alias("n_tokens"), record.alias("record"))
-    sized = stage(sized, "sized")
+    tokens = token_count(text, vocabulary).alias("n_tokens")
+    sized = stage(df.select(F.col(id_).alias("id"), source_key(source).alias("source_key"), tokens), "sized")
     by_source = stage(sized.groupBy("source_key").agg(F.sum("n_tokens").alias("available"), F.count(F.lit(1)).alias("records")), "sources")
-    total = size if size is not None else by_source.agg(F.sum("available")).first()[0] or 0
+    total = size if isinstance(size, int) else by_source.agg(F.sum("available")).first()[0] or 0
     wanted = target.where(F.col(source).isNotNull()).groupBy(source_key(source).alias("source")).agg(F.max(F.struct(F.coalesce(share, F.lit(0.0)).alias("s"), F.coalesce(cap, F.lit(0)).alias("c"))).alias("w"))
-    plan = wanted.join(by_source, F.col("source") == F.col("source_key"), "left").select(
+    wanted = wanted.join(by_source, F.col("source") == F.col("source_key"), "left")
+    if size == REACHABLE:
+        most = F.when(F.col("w.s") > 0, F.col("w.c") * F.coalesce("available", F.lit(0)) / F.col("w.s"))
+        total = min(by_source.agg(F.sum("available")).first()[0] or 0, wanted.agg(F.floor(F.min(most))).first()[0] or 0)
+    plan = wanted.select(
         "source", F.col("w.s").alias("target_share"), F.col("w.c").alias("max_repeats"),
         F.coalesce("available", F.lit(0)).alias("available"), F.coalesce("records", F.lit(0)).alias("records"),
         (F.col("w.s") * F.lit(total)).alias("wanted"),
@@ -124,20 +132,25 @@ def prepare(
     chosen = F.coalesce(F.array_min(gap)["i"], F.lit(len(FACTORS) // 2))
     plan = plan.join(tried, F.col("source") == F.col("__s"), "left").withColumn("cdf", F.col("cdfs")[chosen]).drop("__s", "drawn", "cdfs")
     plan = stage(plan, "chosen")
-    docs = sized.join(bounded_broadcast(plan.select(F.col("source").alias("__s"), "cdf")), F.col("source_key") == F.col("__s"), "left")
-    docs = docs.withColumn("copies", uses(F.col("cdf"))).drop("cdf", "__s")
-    return Prepared(docs, plan)
+    cdfs = bounded_broadcast(plan.select(F.col("source").alias("__s"), "cdf"))
+    drawn = lambda rows: rows.join(cdfs, F.col("source_key") == F.col("__s"), "left").withColumn("copies", uses(F.col("cdf"))).drop("cdf", "__s")
+    docs = drawn(df.select(F.col(id_).alias("id"), source_key(source).alias("source_key"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("record")))
+    docs = docs.withColumn("n_tokens", token_count(F.col("record")[text], vocabulary))
+    return Prepared(docs, plan, drawn(sized).drop("id"))
 
 
 def mixture(prepared: Prepared, seed: int = 0) -> DataFrame:
-    """The records, each as often as it is used (copy, from 1), in a global random order given by the column place."""
+    """The records, each as often as it is used (copy, from 1), in a global random order given by the column place.
+
+    n_tokens is measured again, for the records used and only if it is asked for.
+    """
     out = prepared.docs.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return out.withColumn("place", F.xxhash64(F.lit(seed + 1), "id", "copy")).orderBy("place", "id", "copy")
 
 
 def share_report(prepared: Prepared) -> DataFrame:
     """A row for each source of the target: tokens available and wanted, whether they can be reached, tokens and share of all tokens used, and share_of_size, what was used against the size of the whole mixture wanted."""
-    used = prepared.docs.where("copies > 0").groupBy("source_key").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("used"), F.sum("copies").alias("uses"))
+    used = prepared.sizes.where("copies > 0").groupBy("source_key").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("used"), F.sum("copies").alias("uses"))
     joined = prepared.plan.join(used, F.col("source") == F.col("source_key"), "left").drop("source_key", "cdf")
     joined = stage(joined.withColumns({"used": F.coalesce("used", F.lit(0)), "uses": F.coalesce("uses", F.lit(0))}), "report")
     all_used = joined.agg(F.sum("used")).first()[0] or 0

@@ -24,7 +24,8 @@ def p1_top100(spark: SparkSession, d: str) -> DataFrame:
 
 def _referrer_counts(spark: SparkSession, d: str) -> DataFrame:
     access = table(spark, d, "access_log").where("referrer is not null and referrer <> ''")
-    return access.groupBy("url", "referrer").agg(F.count(F.lit(1)).alias("n"))
+    # read twice by the operator
+    return stage(access.groupBy("url", "referrer").agg(F.count(F.lit(1)).alias("n")), "counts")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -65,37 +66,74 @@ def p4_distinct(spark: SparkSession, d: str) -> DataFrame:
     return out.select("level", day_string("day").alias("day"), "node", "field", "records", "estimate", "error", "low", "high")
 
 
-def _packed(spark: SparkSession, d: str) -> DataFrame:
+def p4_within(spark: SparkSession, d: str) -> DataFrame:
+    """The exact number of different values of each day and node, of each day and of each node, and whether it lies within six errors of the estimate."""
+    values = stage(_values(spark, d), "values")
+    fine = stage(distinct.build(values, ["day", "node", "field"], "value"), "sketches")
+    out = None
+    for keys in (["day", "node", "field"], ["day", "field"], ["node", "field"]):
+        sketch = distinct.estimate(fine if len(keys) == 3 else distinct.merge(fine, keys), keys, sigmas=6)
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same &= F.col(k).eqNullSafe(F.col(f"k{i}"))
+        exact = values.groupBy(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).agg(F.count_distinct("value").alias("exact"))
+        got = sketch.join(exact, same).select(*[F.col(k) if k in keys else F.lit(None).cast("string").alias(k) for k in ("day", "node", "field")], "records", "exact", F.col("exact").between(F.col("low") - 1, F.col("high") + 1).alias("within"))
+        out = got if out is None else out.unionByName(got)
+    return out.select(day_string(F.col("day").cast("int")).alias("day"), "node", "field", "records", "exact", "within")
+
+
+def p7_method(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's container. p7_found's rows don't depend on how containers are filled: see the README."""
     return packing.pack_texts(table(spark, d, "documents"), "doc_id", "text")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _packed(spark, d).where((F.col("n_pieces") > 1) & (F.col("piece") == 0)).select("doc_id")
+    return p7_method(spark, d).where((F.col("n_pieces") > 1) & (F.col("piece") == 0)).select("doc_id")
 
 
-def p7_packed(spark: SparkSession, d: str) -> DataFrame:
-    return _packed(spark, d)
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p7_method(spark, d))
 
 
-def p7_containers(spark: SparkSession, d: str) -> DataFrame:
-    return packing.fill_report(_packed(spark, d))
+def p7_kept(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of any packing: documents, those lost or split though they fit, containers overfull, and whether no two containers but a pool's last fit into one."""
+    packed = stage(p7_method(spark, d), "packed")
+    sizes = packed.groupBy("doc_id").agg(F.sum("size").alias("size"), F.max("n_pieces").alias("pieces"), F.countDistinct("piece").alias("there"))
+    of = sizes.agg(F.count(F.lit(1)).alias("documents"), F.sum((F.col("there") != F.col("pieces")).cast("bigint")).alias("lost"), F.sum(((F.col("size") <= 2048) & (F.col("pieces") > 1)).cast("bigint")).alias("split"))
+    report = packing.fill_report(packed).agg(F.sum((F.col("slack") < 0).cast("bigint")).alias("overfull"), (F.sum("slack") * 20 <= F.sum("used")).alias("tight"))
+    return of.crossJoin(report)  # one row each
 
 
-def _prepared(spark: SparkSession, d: str, keep_text: bool) -> mixing.Prepared:
+def _prepared(spark: SparkSession, d: str, size: str | None = None) -> mixing.Prepared:
     docs = table(spark, d, "documents").select("doc_id", "source", "text")
-    return mixing.prepare(docs, table(spark, d, "mix_target"), "doc_id", "text", keep_text=keep_text)
+    return mixing.prepare(docs, table(spark, d, "mix_target"), "doc_id", "text", size=size)
+
+
+def p8_method(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture itself. p8_found's rows don't depend on the draw: see the README."""
+    return mixing.mixture(_prepared(spark, d)).select("place", "record.doc_id", "copy", "source_key", "record.text")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.share_report(_prepared(spark, d, keep_text=False)).where(~F.col("reachable")).select("source")
+    return mixing.share_report(_prepared(spark, d)).where(~F.col("reachable")).select("source")
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.share_report(_prepared(spark, d, keep_text=False))
+    return mixing.share_report(_prepared(spark, d))
+
 
+def p8_reachable_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of the largest mixture in which every source has its share."""
+    return mixing.share_report(_prepared(spark, d, mixing.REACHABLE))
 
-def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixture(_prepared(spark, d, keep_text=True)).select("place", "record.doc_id", "copy", "source_key", "n_tokens", "record.text")
+
+def p8_kept(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of any mixture: for each source of the target, its records used too often and copies of others' records."""
+    target = table(spark, d, "mix_target").select(mixing.source_key("source").alias("source"), "max_repeats")
+    uses = p8_method(spark, d).groupBy("source_key", "doc_id").agg(F.max("copy").alias("copies"), F.count(F.lit(1)).alias("n"))
+    wrong = (F.col("copies") > F.col("max_repeats")) | (F.col("copies") != F.col("n"))
+    of = uses.join(target, F.col("source") == F.col("source_key"), "full")
+    return of.groupBy(F.coalesce("source", F.lit("none of the target")).alias("source")).agg(F.sum(F.coalesce(wrong, F.lit(False)).cast("bigint")).alias("wrong"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -108,7 +146,10 @@ def p9_repetition(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_top100, p3_found, p3_top10, p4_found, p4_distinct, p7_found, p7_packed, p7_containers, p8_found, p8_shares, p8_mixture, p9_found, p9_repetition)
+    for f in (
+        p1_found, p1_top100, p3_found, p3_top10, p4_found, p4_distinct, p4_within, p7_method, p7_found, p7_containers, p7_kept,
+        p8_method, p8_found, p8_shares, p8_reachable_shares, p8_kept, p9_found, p9_repetition,
+    )
 }
 
 _P3 = """
@@ -138,6 +179,17 @@ SQL = {
         select cast(date '1970-01-01' + cast(floor(time / 86400000.0) as integer) as varchar), node, 'referrer', referrer from access_log where referrer <> '')
       select day, node, field from v where node is not null and day is not null group by 1, 2, 3
       having count(*) >= 200 and count(distinct value) * 100 >= count(*) * 85""",
+    "p4_within": """
+      with v as (
+        select cast(floor(time / 86400000.0) as integer) as d, node, 'url' as field, url as value from access_log where url <> ''
+        union all select cast(floor(time / 86400000.0) as integer), node, 'referrer', referrer from access_log where referrer <> ''),
+      g as (
+        select d, node, field, count(*) as records, count(distinct value) as exact from v group by 1, 2, 3
+        union all select d, null, field, count(*), count(distinct value) from v group by 1, 2, 3
+        union all select null, node, field, count(*), count(distinct value) from v group by 1, 2, 3)
+      select cast(date '1970-01-01' + d as varchar) as day, node, field, records, exact, true as within from g""",
+    "p7_kept": "select count(distinct doc_id) as documents, 0 as lost, 0 as split, 0 as overfull, true as tight from documents",
+    "p8_kept": "select distinct lower(trim(source)) as source, cast(0 as bigint) as wrong from mix_target",
     "p9_found": _P9 + "select doc_id from result where n_repeated > 0 and n_repeated * 10 >= n_words * 4",
     "p9_repetition": _P9 + "select doc_id, n_words, n_repeated, n_repeated / greatest(n_words, 1)::double as share from result",
 }

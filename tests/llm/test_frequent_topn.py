@@ -74,23 +74,42 @@ def brute_groups(rows, n, min_items=1):
     return {(g, i, k + 1) for g, items in groups.items() if len(items) >= min_items for k, (i, s) in enumerate(sorted(items, key=rank)[:n])}
 
 
-@pytest.mark.parametrize(("seed", "n", "min_items"), [(1, 3, 4), (2, 1, 1), (3, 20, 1)])
-def test_top_n_against_brute_force(spark, seed, n, min_items):
+@pytest.mark.parametrize(("seed", "n", "min_items", "bound"), [(1, 3, 4, 1000), (2, 1, 1, 2), (3, 20, 1, 1000), (4, 1200, 1, 0)])
+def test_top_n_against_brute_force(spark, seed, n, min_items, bound):
     rnd = random.Random(seed)
     rows = [(rnd.choice(["hot"] * 6 + ["a", "b", None, f"g{rnd.randrange(200)}"]), i, rnd.choice([None, float("nan"), -5.0, 0.0, 1.0, 2.0, rnd.expovariate(0.01)])) for i in range(3000)]
     df = spark.createDataFrame(rows, "g string, i int, s double").repartition(6)
-    got = {(r["g"], r["i"], r["rank"]) for r in top_n_per_group(df, ["g"], "s", ["i"], n, min_items, large=50).collect()}
+    got = {(r["g"], r["i"], r["rank"]) for r in top_n_per_group(df, ["g"], "s", ["i"], n, min_items, bound=bound).collect()}
     assert got == brute_groups(rows, n, min_items)
 
 
 def test_thresholds_drop_rows_of_large_groups_early(spark):
     df = spark.range(20_000).select((F.col("id") % 2).alias("g"), "id", (F.col("id") % 1000).alias("s"))
-    out = top_n_per_group(df, ["g"], "s", ["id"], 2, large=10)
+    out = top_n_per_group(df, ["g"], "s", ["id"], 2)
     assert sorted((r["g"], r["rank"], r["id"]) for r in out.collect()) == [(0, 1, 998), (0, 2, 1998), (1, 1, 999), (1, 2, 1999)]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "BroadcastHashJoin" in plan and "CartesianProduct" not in plan
 
 
+def test_a_group_of_equal_scores_is_ranked_in_parts(spark):
+    df = spark.range(30_000).select(F.lit(1).alias("g"), "id", F.lit(5).alias("s"))
+    out = top_n_per_group(df, ["g"], "s", ["id"], 2000)
+    assert sorted((r["rank"], r["id"]) for r in out.collect()) == [(i + 1, i) for i in range(2000)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [row_number()") == 2 and "salt" in plan
+    repeated = spark.range(5000).select(F.lit(1).alias("g"), F.lit(7).alias("id"), F.lit(5).alias("s"))
+    assert top_n_per_group(repeated, ["g"], "s", ["id"], 2000).count() == 2000
+
+
+def test_every_group_gets_its_threshold(spark):
+    df = spark.range(20_000).select((F.col("id") % 400).alias("g"), "id", (F.col("id") % 977).alias("s"))
+    for bound in (1000, 0):
+        out = top_n_per_group(df, ["g"], "s", ["id"], 2, bound=bound)
+        assert out.count() == 800
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert ("strategy=shuffle_hash" in plan) == (bound == 0) and "strategy=broadcast" in plan
+
+
 def test_top_n_edges(spark):
     df = spark.createDataFrame([("a", 1, 5, "x"), ("a", 1, 5, "y"), ("b", 2, None, "z")], "g string, i int, s int, extra string")
     got = sorted((r["g"], r["rank"], r["extra"]) for r in top_n_per_group(df, ["g"], "s", ["i", "extra"], 5).collect())

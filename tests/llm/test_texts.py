@@ -83,7 +83,7 @@ def test_pack_keeps_items_whole(spark):
 
 
 def test_packed_texts(spark, data):
-    packed = queries.p7_packed(spark, data)
+    packed = queries.p7_method(spark, data)
     report = packing.fill_report(packed).collect()
     assert all(0 <= r["slack"] for r in report)
     docs = spark.read.parquet(f"{data}/documents.parquet")
@@ -132,6 +132,21 @@ def test_mixture_reaches_its_shares(spark):
     again = mixing.mixture(mixing.prepare(df.repartition(7), target, "id", "text")).select("id", "copy", "copies", "source_key", "place").collect()
     assert again == rows
     assert mixing.mixture(prepared).select("record.*").columns == df.columns
+    assert sum(r["n_tokens"] for r in mixing.mixture(prepared).select("n_tokens").collect()) == sum(r["used"] for r in report.values())
+    # a mixture without tiny and absent sources' limits: as large as lets every share be reached
+    target = target.where("source in ('big', 'mid', 'tiny')").withColumn("target_share", F.when(F.col("source") == "mid", 0.42).otherwise(F.col("target_share")))
+    report = {r["source"]: r for r in mixing.share_report(mixing.prepare(df, target, "id", "text", size=mixing.REACHABLE)).collect()}
+    assert all(r["reachable"] for r in report.values())
+    assert all(abs(r["actual_share"] - r["target_share"]) < 0.02 for r in report.values())
+
+
+def test_no_text_is_staged(spark, data):
+    from fragsql import runtime
+
+    before = set(runtime.staged_tables())
+    assert queries.p8_method(spark, data).count() > 0
+    for _, path in set(runtime.staged_tables()) - before:
+        assert not {"text", "record"} & set(spark.read.parquet(path).columns)
 
 
 def test_mixture_edges(spark):
@@ -140,7 +155,7 @@ def test_mixture_edges(spark):
     p = mixing.prepare(none, target, "id", "text")
     assert mixing.mixture(p).count() == 0
     assert {r["source"]: r["used"] for r in mixing.share_report(p).collect()} == {"a": 0, "b": 0}
-    p = mixing.prepare(docs_frame(spark, 50), target.where("false"), "id", "text", keep_text=False)
+    p = mixing.prepare(docs_frame(spark, 50), target.where("false"), "id", "text")
     assert mixing.share_report(p).count() == 0 and mixing.mixture(p).count() == 0
 
 
@@ -220,7 +235,7 @@ def test_against_sql(spark, data, duck, name):
 
 
 def test_no_query_drops_rows_by_id(spark, data):
-    assert queries.p7_packed(spark, data).agg(F.count_distinct("doc_id")).first()[0] == spark.read.parquet(f"{data}/documents.parquet").count()
+    assert queries.p7_method(spark, data).agg(F.count_distinct("doc_id")).first()[0] == spark.read.parquet(f"{data}/documents.parquet").count()
 
 
 @pytest.mark.parametrize("cap", [600, 800, 3000])
