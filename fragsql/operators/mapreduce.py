@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from fragsql.operators.ring import Ring
+
 Pair = tuple[Any, Any]
 #: A combiner sees no fewer pairs than this at a time; smaller rests pass it by.
 COMBINE_FROM = 512
@@ -151,10 +153,10 @@ def reduced_map(df: DataFrame, process: Callable[[Any, Iterator], Iterable[Pair]
     return reduce_phase(df, process, schema)
 
 
-def output_keys(df: DataFrame) -> DataFrame:
-    """The different keys of a map's output, with where they go: key, partition of the reduce phase."""
+def output_keys(df: DataFrame, ring: Ring) -> DataFrame:
+    """key, node, n: the different keys of a map's output, the node that each goes to, and its number of pairs."""
     key = df.columns[0]
-    return df.select(key).distinct().repartition(key).withColumn("partition", F.spark_partition_id())
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).select(key, ring.column(F.col(key).cast("string")).alias("node"), "n")
 
 
 def parse_or_null(parse: Callable[[Any], Any]) -> Callable[[Any], Any]:

@@ -36,7 +36,10 @@ class Ring:
 
     def successors(self, key: bytes | str, number: int, physical: bool = True) -> list[str]:
         """The owner and those that follow: different nodes, or with physical false the owners of the next places."""
-        begin, out = self._index(key), []
+        return self._from(self._index(key), number, physical)
+
+    def _from(self, begin: int, number: int, physical: bool) -> list[str]:
+        out = []
         for i in range(len(self.owners)):
             n = self.nodes[self.owners[(begin + i) % len(self.owners)]]
             if not physical or n not in out:
@@ -47,9 +50,21 @@ class Ring:
 
     def column(self, key: str | Column) -> Column:
         """The owner of a key column (bytes, or text as UTF-8); null for null. The ring travels with the function."""
+        return self.successor_column(key, 1)[0]
+
+    def successor_column(self, key: str | Column, number: int, physical: bool = True) -> Column:
+        """successors() of a key column, as an array; null for null. SHA-1 runs in the JVM, the search on whole batches."""
+        after = [self._from(i, number, physical) for i in range(len(self.owners))]
 
-        @F.pandas_udf(T.StringType())
-        def owner(keys: pd.Series) -> pd.Series:
-            return keys.map(lambda k: None if k is None else self.node(bytes(k)))
+        @F.pandas_udf(T.ArrayType(T.StringType()))
+        def owners(places: pd.Series) -> pd.Series:
+            known = places.notna().to_numpy()
+            at = np.frombuffer(b"".join(map(bytes, places[known])), ">u8")
+            index = np.searchsorted(self.places, at.astype(np.uint64), side="right") % len(self.owners)
+            out = pd.Series([None] * len(places), dtype=object)
+            for i, k in zip(np.flatnonzero(known), index, strict=True):
+                out.iat[i] = after[k]
+            return out
 
-        return owner((F.col(key) if isinstance(key, str) else key).cast("binary"))
+        c = (F.col(key) if isinstance(key, str) else key).cast("binary")
+        return owners(F.unhex(F.substring(F.sha1(c), 1, 16)))

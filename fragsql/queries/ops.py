@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fragsql.functions import hashes, text
 from fragsql.operators import fragment as fr
 from fragsql.operators import kmeans, mapreduce
-from fragsql.operators.catalog import HIDDEN, SHARD
+from fragsql.operators.catalog import SHARD
 from fragsql.operators.kv import KVStore
 from fragsql.plans.twophase import execute, run_script, table_views
 from fragsql.queries.tpch import SHARDS, catalog, fragments, tables
@@ -169,10 +169,6 @@ def op_reduced_map(spark: SparkSession, d: str) -> DataFrame:
     return mapreduce.reduced_map(rows, lambda k, values: [(len(list(values)), k)], "n bigint, o_custkey bigint")
 
 
-def op_output_keys(spark: SparkSession, d: str) -> DataFrame:
-    return mapreduce.output_keys(table(spark, d, "orders").select("o_orderpriority", "o_orderkey")).select("o_orderpriority")
-
-
 # -- fragments --------------------------------------------------------------------------------------------------------
 
 
@@ -209,12 +205,6 @@ def op_partitioned_by(spark: SparkSession, d: str) -> DataFrame:
     return execute(spark, both, "select name, sum(n) as n from <src> group by name", fragments(spark, d), SHARDS, catalog()).value
 
 
-def op_two_phase_stddev(spark: SparkSession, d: str) -> DataFrame:
-    """Average and deviation of the rows per shard, from a map query that counts its copies."""
-    res = execute(spark, "select count(*) as n from lineitem where lineitem partitioned by (primarykey)", "select sum(n) as total, count(*) as shards, stddev(n) >= 0 as spread from <src>", fragments(spark, d), SHARDS, catalog())
-    return res.value
-
-
 def op_two_phase_view(spark: SparkSession, d: str) -> DataFrame:
     name = execute(spark, "select o_orderstatus as s, count(*) as n from orders where orders partitioned by (primarykey) group by o_orderstatus", "select s, sum(n) as n from <src> group by s", fragments(spark, d), SHARDS, catalog(), output="view", name="status_counts").value
     return spark.table(name)
@@ -231,25 +221,6 @@ def op_two_phase_csv(spark: SparkSession, d: str) -> DataFrame:
     return csvio.read_csv(spark, path, "c_custkey bigint, c_name string, c_acctbal double", sep=",")
 
 
-def op_plain_hash(spark: SparkSession, d: str) -> DataFrame:
-    stats = fr.shard_stats(fr.plain_hash(table(spark, d, "orders"), ["o_orderkey"], 8), 8)
-    return stats.select("total", "mean", (F.col("percent") < 10).alias("even"))
-
-
-def op_overlap_ratio(spark: SparkSession, d: str) -> DataFrame:
-    keys = [["l_orderkey"], ["l_partkey"], ["l_suppkey"]]
-    got = fr.overlap_ratio(table(spark, d, "lineitem"), keys, 4)
-    return got.select("n_keys", (F.col("n_copies") < F.col("n_keys")).alias("saves"), F.col("overlap").between(0.2, 0.6).alias("plausible"))
-
-
-def op_multi_key_copies(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of which every key finds a copy in its shard."""
-    src = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    copies = fr.multi_key_copies(src, [["o_orderkey"], ["o_custkey"]], 4)
-    here = lambda k: F.max((fr.route([k], 4) == F.col(SHARD)).cast("int"))
-    return copies.groupBy("o_orderkey", "o_custkey").agg((here("o_orderkey") + here("o_custkey")).alias("found"))
-
-
 def op_missing_keys(spark: SparkSession, d: str) -> DataFrame:
     rich = table(spark, d, "customer").where("c_acctbal > 0")
     return fr.missing_keys(table(spark, d, "orders"), ["o_custkey"], rich, ["c_custkey"])
@@ -261,20 +232,6 @@ def op_complete_references(spark: SparkSession, d: str) -> DataFrame:
     return fr.complete_references(rich, every, ["c_custkey"], op_missing_keys(spark, d)).select("c_custkey", "c_name")
 
 
-def op_no_copy_without_reason(spark: SparkSession, d: str) -> DataFrame:
-    out = None
-    for df in fragments(spark, d).values():
-        one = df.select(HIDDEN)
-        out = one if out is None else out.unionAll(one)
-    return out.agg(F.sum((F.col(HIDDEN) == 0).cast("bigint")).alias("without"))
-
-
-def op_catalog_masters(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "distribution_catalog")
-    slaves = rows.where("masternode is not null").groupBy("distkey", F.col("masternode").alias("node")).agg(F.count(F.lit(1)).alias("slaves"))
-    return rows.where("masternode is null").join(slaves, ["distkey", "node"], "left").select("distkey", "node", F.coalesce("slaves", F.lit(0)).alias("slaves"))
-
-
 # -- text in and out, functions, k-means, streams -----------------------------------------------------------------
 
 
@@ -306,13 +263,6 @@ def op_hashes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "access_log").select("url").distinct().select("url", hashes.hash_column("md5", "url").alias("md5"), hashes.hash_column("sha1", "url").alias("sha1"))
 
 
-def op_hash_buckets(spark: SparkSession, d: str) -> DataFrame:
-    """How evenly the keys fall into 128 buckets by the folded FNV-1a hash."""
-    keys = table(spark, d, "orders").select(hashes.fold_bucket(hashes.hash_column("fnv1a_32", F.col("o_orderkey").cast("string")), 128).alias("bucket"))
-    sizes = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.sum("n").alias("total"), (F.min("bucket") >= 0).alias("positive"), (F.max("bucket") < 128).alias("bounded"))
-
-
 def _start(spark: SparkSession, d: str) -> list[list[float]]:
     return [list(map(float, r["embedding"])) for r in table(spark, d, "embeddings").where("vec_id < 5").orderBy("vec_id").collect()]
 
@@ -347,10 +297,10 @@ def op_stream_page_views(spark: SparkSession, d: str) -> DataFrame:
 
 
 _NAMED = (
-    op_multi_get, op_prefix_scan, op_put_replaces, op_remove, op_map_reduce_page_views, op_map_with_skip, op_map_with_nulls, op_reduced_map, op_output_keys,
-    op_hidden_join_is_local, op_partitioned_by, op_two_phase_stddev, op_two_phase_view, op_two_phase_scalar, op_two_phase_csv, op_plain_hash,
-    op_overlap_ratio, op_multi_key_copies, op_missing_keys, op_complete_references, op_no_copy_without_reason, op_catalog_masters,
-    op_csv_round_trip, op_pick_fields, op_composite_key, op_text_functions, op_hashes, op_hash_buckets, op_kmeans_assign, op_kmeans_means,
+    op_multi_get, op_prefix_scan, op_put_replaces, op_remove, op_map_reduce_page_views, op_map_with_skip, op_map_with_nulls, op_reduced_map, 
+    op_hidden_join_is_local, op_partitioned_by, op_two_phase_view, op_two_phase_scalar, op_two_phase_csv, 
+    op_missing_keys, op_complete_references, 
+    op_csv_round_trip, op_pick_fields, op_composite_key, op_text_functions, op_hashes, op_kmeans_assign, op_kmeans_means,
     op_kmeans_fit, op_sample, op_stream_page_views,
 )
 
@@ -390,20 +340,12 @@ SQL: dict[str, str] = {
       case when o_orderkey % 5 = 1 then 'NaN' when o_orderkey % 5 = 2 then 'non' else substring(cast(o_totalprice as varchar), 1, 3) end as kind,
       case when o_orderkey % 5 = 1 then -1.0 when o_orderkey % 5 <> 2 then o_totalprice end as price from orders""",
     "op_reduced_map": "select count(*) as n, o_custkey from orders group by o_custkey",
-    "op_output_keys": "select distinct o_orderpriority from orders",
     "op_partitioned_by": " union all ".join(f"select '{t}' as name, count(*) as n from {t}" for t in ("lineitem", "orders", "customer", "nation")),
-    "op_two_phase_stddev": f"select count(*) as total, cast({SHARDS} as bigint) as shards, true as spread from lineitem",
     "op_two_phase_view": "select o_orderstatus as s, count(*) as n from orders group by 1",
     "op_two_phase_scalar": "select cast(max(o_totalprice) as varchar) || 'd' as value from orders",
     "op_two_phase_csv": "select c_custkey, c_name, c_acctbal from customer",
-    "op_plain_hash": "select count(*) as total, count(*) // 8 as mean, true as even from orders",
-    "op_overlap_ratio": "select 3 * count(*) as n_keys, true as saves, true as plausible from lineitem",
-    "op_multi_key_copies": "select o_orderkey, o_custkey, 2 as found from orders",
     "op_missing_keys": "select distinct o_custkey as c_custkey from orders where o_custkey not in (select c_custkey from customer where c_acctbal > 0)",
     "op_complete_references": "select c_custkey, c_name from customer where not c_acctbal > 0 and c_custkey in (select o_custkey from orders)",
-    "op_no_copy_without_reason": "select cast(0 as bigint) as without",
-    "op_catalog_masters": """select m.distkey, m.node, count(s.node) as slaves from distribution_catalog m left join distribution_catalog s
-      on s.distkey = m.distkey and s.masternode = m.node where m.masternode is null group by 1, 2""",
     "op_csv_round_trip": "select url, referrer, time, node from access_log",
     "op_pick_fields": "select o_orderkey, o_orderpriority from orders",
     "op_composite_key": "select distinct l_partkey || '|' || l_suppkey as k from lineitem",
@@ -411,7 +353,6 @@ SQL: dict[str, str] = {
       cast(case when length(url) - length(replace(url, '/', '')) < 2 then -1 else instr(url, '/') + instr(substring(url, instr(url, '/') + 1), '/') - 1 end as integer) as second,
       rtrim(url, '/') as bare, hex(encode(url)) as hex, url as again, regexp_matches(url, '[0-9]') as digits from (select distinct url from access_log)""",
     "op_hashes": "select distinct url, md5(url) as md5, sha1(url) as sha1 from access_log",
-    "op_hash_buckets": "select count(*) as total, true as positive, true as bounded from orders",
     "op_kmeans_assign": f"select e.vec_id, cast(min_by(c.vec_id, ({_DISTANCE}, c.vec_id)) as integer) as nearest from embeddings e, (select * from embeddings where vec_id < 5) c group by e.vec_id",
     "op_kmeans_means": "select label, n, cast(i - 1 as integer) as place, round(m, 6) as m from (select label, i, avg(embedding[i]::double) as m, count(*) as n from embeddings, range(1, 65) t(i) group by 1, 2)",
 }

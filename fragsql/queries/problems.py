@@ -36,6 +36,11 @@ def p5_method(spark: SparkSession, d: str) -> DataFrame:
     return phase_space_faults(table(spark, d, "grid_node_metrics"), "metrics_id", "node", "last_update_time", METRIC_FIELDS, "collected_at")
 
 
+def p5_faults(spark: SparkSession, d: str) -> DataFrame:
+    """The faults that p5_method finds besides spikes."""
+    return p5_method(spark, d).where("fault <> 'spike'")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     faults = measurement_faults(table(spark, d, "grid_node_metrics"), "metrics_id", "node", "last_update_time", METRIC_FIELDS, "collected_at")
     return faults.select("metrics_id", "field")
@@ -57,7 +62,7 @@ def p6_rolling(spark: SparkSession, d: str) -> DataFrame:
     return _rolling(spark, d).withColumn("day", day_string("day"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_accesses, p2_url_join, p5_method, p5_found, p6_found, p6_rolling)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_accesses, p2_url_join, p5_method, p5_found, p5_faults, p6_found, p6_rolling)}
 
 _P6 = """
 with once as (select distinct url, time from access_log where time is not null and url is not null),
@@ -71,7 +76,7 @@ rolled as (select url, d, n as total,
   from filled)
 """
 
-_P5 = """
+_P5_WITH = """
 with m as (
   select metrics_id, node, last_update_time as t, cast(last_cpu_load as double) as last_cpu_load, last_io_wait,
     coalesce(last_update_time - epoch_ms(collected_at) > 3600000 or last_update_time - epoch_ms(collected_at) < -2592000000, false) as clock
@@ -87,8 +92,10 @@ b as (select *, abs(v - p) as step, list_sort(near) as s, sum(case when v = p th
 c as (select *, (s[(len(s) + 1) // 2] + s[len(s) // 2 + 1]) / 2 as mid,
   v <> 0 and count(*) over (partition by node, field, run) >= 10 as still from b),
 u as (select node, field, median(step) as usual from c where step is not null group by 1, 2),
-bad as (select c.node, c.field, c.t from c left join u on c.node is not distinct from u.node and c.field = u.field
+bad as (select c.node, c.field, c.t, still from c left join u on c.node is not distinct from u.node and c.field = u.field
   where still or abs(v - mid) > 8 * usual)
+"""
+_P5 = _P5_WITH + """
 select metrics_id, 'last_update_time' as field from m where clock
 union all select metrics_id, field from long where v is not null and not (v >= 0 and v <= 1 and not isnan(v))
 union all select possible.metrics_id, possible.field from possible join bad
@@ -106,6 +113,11 @@ SQL = {
       select a.url, count(*) as n_joined, min(time) as first_time, count(referrer) as with_referrer, cast(sum(pageview) as bigint) as views
       from access_log a join pageview p on a.url = p.url group by 1""",
     "p5_found": _P5,
+    "p5_faults": _P5_WITH + """
+      select metrics_id, 'last_update_time' as field, 'clock' as fault from m where clock
+      union all select metrics_id, field, 'impossible' from long where v is not null and not (v >= 0 and v <= 1 and not isnan(v))
+      union all select possible.metrics_id, possible.field, 'still' from possible join bad
+        on possible.node is not distinct from bad.node and possible.field = bad.field and possible.t = bad.t and still""",
     "p6_found": _P6 + "select url, cast(date '1970-01-01' + d as varchar) as day from rolled where total = 0 and total_7 >= 20 and total_7 * 10 >= total_30 * 7",
     "p6_rolling": _P6 + "select url, cast(date '1970-01-01' + d as varchar) as day, total, total_7, total_7 / 7.0::double as avg_7, total_30, total_30 / 30.0::double as avg_30 from rolled",
 }

@@ -15,7 +15,7 @@ from fragsql.plans.dialect import normalise
 from fragsql.plans.keyed import rewrite
 from fragsql.plans.script import first_select, index_of_select, split_script, tokens, validate_script
 from fragsql.plans.twophase import Output, execute
-from fragsql.queries import ops, tpch
+from fragsql.queries import ops, parts, tpch
 from fragsql.runtime import bounded_broadcast, release_staged, shared_dir, stage, staging
 
 # -- scripts ----------------------------------------------------------------------------------------------------------
@@ -299,9 +299,9 @@ def test_first_job_fills_the_first_place(spark):
         execute(spark, "select a from t", "select * from <src>", t, pre_map="select 1", pre_reduce="select * from <src>")
 
 
-@pytest.mark.parametrize("name", sorted(ops.SQL))
+@pytest.mark.parametrize("name", sorted(ops.SQL | parts.SQL))
 def test_operator_against_sql(spark, data, duck, name):
-    same(ops.QUERIES[name](spark, data), duck, ops.SQL[name])
+    same((ops.QUERIES | parts.QUERIES)[name](spark, data), duck, (ops.SQL | parts.SQL)[name])
 
 
 def test_multi_get_collects_no_key_whole(spark, data):

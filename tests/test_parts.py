@@ -5,11 +5,13 @@ import random
 from collections import Counter
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fragsql.functions import arrays, hashes, text
-from fragsql.operators import kmeans, mapreduce
+from fragsql.functions import arrays, codecs, hashes, text
+from fragsql.operators import jobs, kmeans, mapreduce
 from fragsql.operators.kv import KVStore, predicate
 from fragsql.operators.ring import Ring
 from fragsql.plans import cli, flow
@@ -156,7 +158,8 @@ def test_jobs_and_sinks(spark, tmp_path):
     spark.sql("drop table gathered")
     mapreduce.gather_views([df, df.select("v", "k")], "all_parts")
     assert spark.table("all_parts").count() == 6
-    assert mapreduce.output_keys(df).count() == 2
+    ring = Ring(["n1", "n2"])
+    assert sorted(map(tuple, mapreduce.output_keys(df, ring).collect())) == sorted((k, ring.node(str(k)), n) for k, n in Counter(r[0] for r in df.collect()).items())
 
 
 # -- k-means ----------------------------------------------------------------------------------------------------------
@@ -397,3 +400,136 @@ def test_k_means_goes_on_until_centroids_rest(spark):
     again = kmeans.fit(points, "features", 5, 1, start=centroids)
     assert again.converged and again[0] == centroids
     assert not kmeans.fit(points, "features", 5, 2, start=start).converged
+
+
+# -- hash families, codecs, stores at nodes, jobs ---------------------------------------------------------------------------
+
+
+def scalar(f, data):
+    return hashes._in_batches([data], f)[0]
+
+
+def murmur2(data, bits):
+    width, m, r = (4, hashes.MURMUR32, 24) if bits == 32 else (8, hashes.MURMUR64, 47)
+    mask, i = (1 << bits) - 1, 0
+    h = hashes.SEED ^ (len(data) if bits == 32 else len(data) * m & mask)
+    while len(data) - i >= width:
+        k = int.from_bytes(data[i : i + width], "little") * m & mask
+        k = (k ^ k >> r) * m & mask
+        h = (h * m ^ k) & mask if bits == 32 else (h ^ k) * m & mask
+        i += width
+    if i < len(data):
+        h = (h ^ int.from_bytes(data[i:], "little")) * m & mask
+    a, b = (13, 15) if bits == 32 else (47, 47)
+    h = (h ^ h >> a) * m & mask
+    return h ^ h >> b
+
+
+def lookup8(data):
+    mask, s = (1 << 64) - 1, [hashes.SEED, hashes.SEED, hashes.GOLDEN64]
+
+    def mix():
+        for i, k in enumerate(hashes.LOOKUP8_MIX):
+            x, y, z = i % 3, (i + 1) % 3, (i + 2) % 3
+            s[x] = (s[x] - s[y] - s[z]) & mask
+            s[x] ^= s[z] >> k if k > 0 else s[z] << -k & mask
+
+    word = lambda b: int.from_bytes(b, "little")
+    at = 0
+    while len(data) - at >= 24:
+        for i in range(3):
+            s[i] = s[i] + word(data[at + 8 * i : at + 8 * i + 8]) & mask
+        mix()
+        at += 24
+    rest = data[at:]
+    s[0], s[1] = s[0] + word(rest[:8]) & mask, s[1] + word(rest[8:16]) & mask
+    s[2] = s[2] + len(data) + (word(rest[16:]) << 8) & mask
+    mix()
+    return s[2]
+
+
+@given(st.binary(max_size=80))
+def test_hash_families(data):
+    assert scalar(hashes.murmur_32, data) & 0xFFFFFFFF == murmur2(data, 32)
+    assert scalar(hashes.murmur_64, data) & (1 << 64) - 1 == murmur2(data, 64)
+    assert scalar(hashes.jenkins_64, data) & (1 << 64) - 1 == lookup8(data)
+
+
+def test_published_values_of_hashes(spark):
+    # fixed values: published with the function
+    assert scalar(lambda r, n: hashes.jenkins_32(r, n, 0), b"Four score and seven years ago") == 0x17770551
+    assert scalar(lambda r, n: hashes.jenkins_32(r, n, 0), b"") & 0xFFFFFFFF == 0xDEADBEEF
+    assert one(spark, hashes.hash_column("native", F.lit("hello"))) == 99162322
+    assert one(spark, hashes.hash_column("PURE_SHA1", F.lit("abc"))) == 0xA9993E36
+    mixed = [b"", None, b"a" * 1000, b"ab", b"abc" * 20]
+    assert hashes._in_batches(mixed, hashes.murmur_64) == [None if b is None else scalar(hashes.murmur_64, b) for b in mixed]
+
+
+@given(st.one_of(st.binary(max_size=3000), st.text("ab", max_size=3000).map(str.encode), st.integers(0, 5000).map(lambda n: b"x" * n)))
+def test_codecs_round_trip(data):
+    packed = codecs.lzf_compress(data)
+    assert codecs.lzf_decompress(packed) == data
+    assert len(packed) <= len(data) + -(-len(data) // 32) + 3
+
+
+def test_codec_columns_and_errors(spark):
+    df = spark.createDataFrame([("hello " * 500,), ("",), (None,)], "t string")
+    for codec in ("LZF", "deflate"):
+        packed = df.select("t", codecs.compress("t", codec).alias("p"))
+        assert packed.where(~codecs.decompress("p", codec).cast("string").eqNullSafe(F.col("t"))).count() == 0
+        assert packed.agg(F.max(F.octet_length("p"))).first()[0] < 200
+    with pytest.raises(ValueError):
+        codecs.lzf_decompress(b"\x05\x00\x00\x00a")
+    with pytest.raises(ValueError):
+        codecs.lzf_decompress(b"\x05\x00\x00\x20\x00")
+
+
+def test_copies_at_nodes(spark, tmp_path):
+    ring = Ring(["n1", "n2", "n3"])
+    kv = KVStore(spark, str(tmp_path), ring=ring)
+    kv.add("i", {f"k{i}": f"v{i}" for i in range(30)}, replicas=1)
+    kv.add("i", {"k0": "w"})
+    kv.put("i", {"k1": "new"}, replicas=2)
+    assert kv.get("i", "k0") == [b"v0", b"w"] and kv.get("i", "k1") == [b"new"] and kv.table("i").count() == 31
+    for node in ring.nodes:
+        lost = {("k0", b"w")} if ring.node("k0") == node else set()
+        rest = {(bytes(r["key"]).decode(), bytes(r["value"])) for r in kv.table("i", [node]).collect()}
+        assert rest == {(f"k{i}", f"v{i}".encode()) for i in range(30) if i != 1} | {("k1", b"new"), ("k0", b"w")} - lost
+    for node in ring.nodes:
+        owned = {bytes(r["key"]).decode() for r in kv._copies("i").where((F.col("node") == node) & (F.col("replica") == 0)).collect()}
+        assert all(ring.node(k) == node for k in owned)
+    assert kv.remove("i", "k1") and kv._copies("i").where("cast(key as string) = 'k1'").count() == 0
+    with pytest.raises(ValueError):
+        KVStore(spark, str(tmp_path / "none")).add("i", {"a": "b"}, replicas=1)
+
+
+def test_layouts(spark, tmp_path):
+    for layout in ("plain", "hashed"):
+        kv = KVStore(spark, str(tmp_path / layout), layout)
+        kv.add("i", [("a", "1"), ("b", "2"), ("a", "3")])
+        assert sorted(kv.get("i", "a")) == [b"1", b"3"] and kv.scan("i").count() == 3 and kv.multi_get("i", ["a", "b", "c"]).count() == 2
+    with pytest.raises(NotImplementedError):
+        kv.prefix_search("i", "a")
+    with pytest.raises(ValueError):
+        KVStore(spark, str(tmp_path), "none")
+
+
+def test_tasks_are_tried_again(spark, tmp_path):
+    def flaky(k):
+        mark = tmp_path / f"done{k}"
+        if not mark.exists():
+            mark.write_text("")
+            raise OSError("once")
+        return k + 1
+
+    assert jobs.run_tasks(spark, [3, 1, 2], flaky, T.LongType(), T.LongType()) == [(3, 4), (1, 2), (2, 3)]
+    with pytest.raises(RuntimeError, match="ZeroDivisionError"):
+        jobs.run_tasks(spark, [0], lambda k: 1 // k, T.LongType(), T.LongType(), retries=1)
+    assert jobs.run_tasks(spark, [], flaky, T.LongType(), T.LongType()) == []
+
+
+def test_options_of_execute():
+    args = cli.parser().parse_args(["--data", "d", "execute", "--map-query", "m", "--reduce-query", "r", "--wait-spe", "--delegate", "spark://h:7077"])
+    assert cli.settings(args) == {"spark.master": "spark://h:7077", "spark.speculation": "false", "spark.task.maxFailures": "1"}
+    args = cli.parser().parse_args(["--data", "d", "execute", "--map-query", "m", "--reduce-query", "r", "--failover"])
+    assert cli.settings(args) == {"spark.speculation": "true", "spark.task.maxFailures": "4"}
