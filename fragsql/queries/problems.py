@@ -32,6 +32,12 @@ def p2_url_join(spark: SparkSession, d: str) -> DataFrame:
     return eager_join_aggregate(access, stored, ["url"], {"first_time": ("min", "time"), "with_referrer": ("count", "referrer")}, {"views": ("sum", "pageview")})
 
 
+def p2_node_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Per node, the join of accesses and page views on url and node, rolled up from its states."""
+    access, stored = table(spark, d, "access_log"), table(spark, d, "pageview")
+    return eager_join_aggregate(access, stored, ["url", "node"], {"last_time": ("max", "time"), "with_referrer": ("count", "referrer")}, {"views": ("sum", "pageview"), "least": ("min", "pageview")}, rollup=["node"])
+
+
 def p5_method(spark: SparkSession, d: str) -> DataFrame:
     return phase_space_faults(table(spark, d, "grid_node_metrics"), "metrics_id", "node", "last_update_time", METRIC_FIELDS, "collected_at")
 
@@ -62,7 +68,7 @@ def p6_rolling(spark: SparkSession, d: str) -> DataFrame:
     return _rolling(spark, d).withColumn("day", day_string("day"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_accesses, p2_url_join, p5_method, p5_found, p5_faults, p6_found, p6_rolling)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_accesses, p2_url_join, p2_node_rollup, p5_method, p5_found, p5_faults, p6_found, p6_rolling)}
 
 _P6 = """
 with once as (select distinct url, time from access_log where time is not null and url is not null),
@@ -112,6 +118,9 @@ SQL = {
     "p2_url_join": """
       select a.url, count(*) as n_joined, min(time) as first_time, count(referrer) as with_referrer, cast(sum(pageview) as bigint) as views
       from access_log a join pageview p on a.url = p.url group by 1""",
+    "p2_node_rollup": """
+      select a.node, count(*) as n_joined, max(time) as last_time, count(referrer) as with_referrer, cast(sum(pageview) as bigint) as views, min(pageview) as least
+      from access_log a join pageview p on a.url = p.url and a.node = p.node group by 1""",
     "p5_found": _P5,
     "p5_faults": _P5_WITH + """
       select metrics_id, 'last_update_time' as field, 'clock' as fault from m where clock

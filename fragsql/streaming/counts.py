@@ -8,7 +8,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def windowed_counts(stream: DataFrame, key: str, time: str, window: str = "1 day", late: str = "2 days") -> DataFrame:
-    """start, key, n for each window of event time; a window is final once the watermark, `late` behind, has passed it."""
+    """start, key, n for each window of event time; a window is final once the watermark, `late` behind, has passed it.
+
+    Rows later than that are dropped, as a stream's state must end somewhere. Where no row may be lost, however late,
+    use partial_counts and total_counts.
+    """
     marked = stream.withWatermark(time, late)
     counted = marked.groupBy(F.window(time, window).alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
     return counted.select(F.col("w.start").alias("start"), key, "n")

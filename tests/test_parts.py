@@ -402,6 +402,16 @@ def test_k_means_goes_on_until_centroids_rest(spark):
     assert not kmeans.fit(points, "features", 5, 2, start=start).converged
 
 
+def test_kmeans_of_gaps_and_lengths(spark):
+    rows = [(1, "a", [1.0, 2.0]), (2, "a", [3.0, None]), (3, "b", [5.0]), (4, None, [9.0, 9.0]), (5, "b", None), (6, "a", [1.0, 2.0, 7.0])]
+    df = spark.createDataFrame(rows, "i int, l string, f array<double>").repartition(3)
+    got = {r["l"]: (r["n"], r["mean"]) for r in kmeans.means(df, "f", "l").collect()}
+    assert got == {"a": (3, [5 / 3, 2.0, 7.0]), "b": (1, [5.0])}
+    near = {r["i"]: r["label"] for r in kmeans.assign(df, "f", [[1.0, 2.0], [9.0, 9.0], [9.0, 9.0]]).collect()}
+    assert near == {1: 0, 2: None, 3: None, 4: 1, 5: None, 6: None}
+    assert kmeans.means(df.where("false"), "f", "l").count() == 0 and kmeans.assign(df.where("false"), "f", [[1.0]]).count() == 0
+
+
 # -- hash families, codecs, stores at nodes, jobs ---------------------------------------------------------------------------
 
 
