@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fragsql.runtime import shuffle_partitions
+from fragsql.runtime import stage
 
 
 def rolling_totals(
@@ -18,7 +18,7 @@ def rolling_totals(
     periods: Sequence[int] = (7, 30),
     first: int | Column | None = None,
     last: int | Column | None = None,
-    spread: int = 4,
+    rows_per_task: int = 100_000,
 ) -> DataFrame:
     """Totals and averages of each entity over trailing periods, for every day from first to last.
 
@@ -27,12 +27,12 @@ def rolling_totals(
     days ends with the day itself, the average divides by p. Days without rows appear with zeros.
 
     Rows are added up per (entity, day) before anything moves by entity, so a hot entity is at most one row a day
-    when its partition is formed; the explosion, the grouping and the calendar all use that one partitioning.
+    when its partition is formed; the explosion, the grouping and the calendar all use that one partitioning. The
+    daily totals are staged and counted, so that there are as many partitions as they need, rows_per_task in each.
     first and last default to the first and last day of df and may be scalar columns. Rows outside first..last
     are ignored, as are rows whose day is null or whose entity is null; a null value counts as 0. Repeated rows
     count as often as they occur. An empty df gives no rows. Other columns are ignored.
     """
-    spark = df.sparkSession
     amount = F.count(F.lit(1)) if value is None else F.coalesce(F.sum(value), F.lit(0))
     src = df.where(F.col(day).isNotNull() & F.col(entity).isNotNull())
     if first is None or last is None:
@@ -44,8 +44,9 @@ def rolling_totals(
         src.where(F.col(day).between(first, last))
         .groupBy(F.col(entity).alias("__e"), F.col(day).cast("int").alias("__d"))
         .agg(amount.alias("__n"))
-        .repartition(shuffle_partitions(spark, spread), "__e")
     )
+    daily = stage(daily, "daily")
+    daily = daily.repartition(max(1, -(-daily.count() // rows_per_task)), "__e")
     reach = F.least(last, F.col("__d") + F.lit(longest - 1))
     influence = daily.select("__e", "__d", "__n", F.explode(F.sequence("__d", reach)).alias("__o"))
     age = F.col("__o") - F.col("__d")
