@@ -18,7 +18,7 @@ def rolling_totals(
     periods: Sequence[int] = (7, 30),
     first: int | Column | None = None,
     last: int | Column | None = None,
-    rows_per_task: int = 100_000,
+    rows_per_task: int = 50_000,
 ) -> DataFrame:
     """Totals and averages of each entity over trailing periods, for every day from first to last.
 
