@@ -62,7 +62,9 @@ def copies_distributions(rates: np.ndarray, cap: int) -> np.ndarray:
 
 
 #: Factors of the rate that are tried so that the tokens drawn come close to the tokens wanted; the middle one is 1.
-FACTORS = [1.025**k for k in range(-20, 21)]
+FACTORS = [1.04**k for k in range(-10, 11)]
+#: Independent draws that each factor is tried with.
+DRAWS = 4
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
@@ -90,12 +92,12 @@ def prepare(
     """Measure df and decide how often each record is used.
 
     Only sizes are staged, not texts. A mixture of `size` tokens (default: all texts together; REACHABLE: as many of
-    them as allow every source its share at its cap, so that the shares reached meet the targets) needs share * size tokens of a source, which has
+    them as allow every source that has texts its share at its cap, so that shares come out as wanted) needs share * size tokens of a source, which has
     available tokens: each of its records is used rate = needed / available times on average, at most `cap` times.
     The number of uses is a Poisson number, inverted at a uniform number hashed from seed and id, cut at the cap; its
     mean is set so that the cut number has the mean rate. As few long records can carry a source far from its share,
-    the draw is tried with FACTORS of the rate at the same uniform numbers, in one pass over the sizes, and each
-    source keeps the factor whose tokens come closest to those wanted. A record gets the same number in every run.
+    DRAWS draws are tried with FACTORS of the rate, in one pass over the sizes, and each source keeps the one whose
+    tokens come closest to those wanted. A record gets the same number in every run.
 
     Sources are compared without blanks around them and in lower case. Records of other sources and those without
     source aren't used but count in the total. A null or empty text has 0 tokens, is no use and is left out of the
@@ -110,7 +112,7 @@ def prepare(
     wanted = target.where(F.col(source).isNotNull()).groupBy(source_key(source).alias("source")).agg(F.max(F.struct(F.coalesce(share, F.lit(0.0)).alias("s"), F.coalesce(cap, F.lit(0)).alias("c"))).alias("w"))
     wanted = wanted.join(by_source, F.col("source") == F.col("source_key"), "left")
     if size == REACHABLE:
-        most = F.when(F.col("w.s") > 0, F.col("w.c") * F.coalesce("available", F.lit(0)) / F.col("w.s"))
+        most = F.when((F.col("w.s") > 0) & (F.col("available") > 0), F.col("w.c") * F.col("available") / F.col("w.s"))
         total = min(by_source.agg(F.sum("available")).first()[0] or 0, wanted.agg(F.floor(F.min(most))).first()[0] or 0)
     plan = wanted.select(
         "source", F.col("w.s").alias("target_share"), F.col("w.c").alias("max_repeats"),
@@ -120,20 +122,22 @@ def prepare(
     most = F.col("max_repeats") * F.col("available")
     plan = plan.withColumns({"reachable": F.col("wanted") <= most, "rate": F.least(F.coalesce(F.try_divide("wanted", "available"), F.lit(0.0)), F.col("max_repeats").cast("double"))})
     plan = stage(plan.withColumn("cdfs", _distributions("rate", "max_repeats")), "plan")
-    u = uniform("id", seed=seed)
-    uses = lambda cdf: F.coalesce(F.size(F.filter(cdf, lambda c: u > c)), F.lit(0))
+    us = F.array(*[uniform("id", seed=seed + 1_000_003 * d) for d in range(DRAWS)])
+    uses = lambda u, cdf: F.coalesce(F.size(F.filter(cdf, lambda c: u > c)), F.lit(0))
+    every = F.flatten(F.transform("us", lambda u: F.transform("cdfs", lambda cdf: uses(u, cdf))))
     tried = (
         sized.join(bounded_broadcast(plan.select(F.col("source").alias("__s"), "cdfs")), F.col("source_key") == F.col("__s"))
-        .select("__s", "n_tokens", F.transform("cdfs", uses).alias("uses"))
+        .select("__s", "n_tokens", "cdfs", us.alias("us"))
+        .select("__s", "n_tokens", every.alias("uses"))
         .groupBy("__s")
-        .agg(F.expr("array(" + ", ".join(f"sum(n_tokens * uses[{j}])" for j in range(len(FACTORS))) + ")").alias("drawn"))
+        .agg(F.expr("array(" + ", ".join(f"sum(n_tokens * uses[{j}])" for j in range(DRAWS * len(FACTORS))) + ")").alias("drawn"))
     )
-    gap = F.transform("drawn", lambda x, i: F.struct(F.abs(x - F.col("wanted")).alias("gap"), F.abs(i - F.lit(len(FACTORS) // 2)).alias("far"), i.alias("i")))
-    chosen = F.coalesce(F.array_min(gap)["i"], F.lit(len(FACTORS) // 2))
-    plan = plan.join(tried, F.col("source") == F.col("__s"), "left").withColumn("cdf", F.col("cdfs")[chosen]).drop("__s", "drawn", "cdfs")
+    gap = F.transform("drawn", lambda x, i: F.struct(F.abs(x - F.col("wanted")).alias("gap"), F.abs(i % len(FACTORS) - F.lit(len(FACTORS) // 2)).alias("far"), i.alias("i")))
+    plan = plan.join(tried, F.col("source") == F.col("__s"), "left").withColumn("chosen", F.coalesce(F.array_min(gap)["i"], F.lit(len(FACTORS) // 2)))
+    plan = plan.withColumns({"cdf": F.col("cdfs")[F.col("chosen") % len(FACTORS)], "draw": F.floor(F.col("chosen") / len(FACTORS)).cast("int")}).drop("__s", "drawn", "cdfs", "chosen")
     plan = stage(plan, "chosen")
-    cdfs = bounded_broadcast(plan.select(F.col("source").alias("__s"), "cdf"))
-    drawn = lambda rows: rows.join(cdfs, F.col("source_key") == F.col("__s"), "left").withColumn("copies", uses(F.col("cdf"))).drop("cdf", "__s")
+    cdfs = bounded_broadcast(plan.select(F.col("source").alias("__s"), "cdf", "draw"))
+    drawn = lambda rows: rows.join(cdfs, F.col("source_key") == F.col("__s"), "left").withColumn("copies", uses(us[F.col("draw")], F.col("cdf"))).drop("cdf", "draw", "__s")
     docs = drawn(df.select(F.col(id_).alias("id"), source_key(source).alias("source_key"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("record")))
     docs = docs.withColumn("n_tokens", token_count(F.col("record")[text], vocabulary))
     return Prepared(docs, plan, drawn(sized).drop("id"))
@@ -151,7 +155,7 @@ def mixture(prepared: Prepared, seed: int = 0) -> DataFrame:
 def share_report(prepared: Prepared) -> DataFrame:
     """A row for each source of the target: tokens available and wanted, whether they can be reached, tokens and share of all tokens used, and share_of_size, what was used against the size of the whole mixture wanted."""
     used = prepared.sizes.where("copies > 0").groupBy("source_key").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("used"), F.sum("copies").alias("uses"))
-    joined = prepared.plan.join(used, F.col("source") == F.col("source_key"), "left").drop("source_key", "cdf")
+    joined = prepared.plan.join(used, F.col("source") == F.col("source_key"), "left").drop("source_key", "cdf", "draw")
     joined = stage(joined.withColumns({"used": F.coalesce("used", F.lit(0)), "uses": F.coalesce("uses", F.lit(0))}), "report")
     all_used = joined.agg(F.sum("used")).first()[0] or 0
     shares = {"actual_share": F.col("used") / F.lit(float(all_used)) if all_used else F.lit(0.0)}
