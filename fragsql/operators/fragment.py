@@ -84,10 +84,10 @@ _PLACES = f"array<struct<{SHARD}:int,{HIDDEN}:int>>"
 
 
 def _index(copies: DataFrame, cols: Sequence[str], names: Sequence[str], out: str, bit: int | None = None) -> DataFrame:
-    """For each key that rows of `copies` refer to, the shards in which such rows live, with their bits or the given one."""
+    """For each key that rows of `copies` refer to, a map from the shards in which such rows live to their bits or the given one."""
     each = copies.groupBy(*[F.col(c).alias(n) for c, n in zip(cols, names, strict=True)], SHARD).agg((F.bit_or(HIDDEN) if bit is None else F.lit(bit)).alias(HIDDEN))
     # no more entries than there are shards
-    return each.groupBy(*names).agg(F.collect_list(F.struct(F.col(SHARD), F.col(HIDDEN))).alias(out))
+    return each.groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct(F.col(SHARD), F.col(HIDDEN)))).alias(out))
 
 
 def _joined(df: DataFrame, index: DataFrame, names: Sequence[str], pk: Sequence[str], variant: Variant, buckets: int) -> DataFrame:
@@ -131,12 +131,10 @@ def fragment(
         raise ValueError("buckets must be a power of two")
     if not isinstance(df, DataFrame):
         df = reduce(DataFrame.unionByName, df)
-    own = F.struct(F.coalesce(route(spec.pk, shards, by), F.lit(0)).alias(SHARD), F.lit(catalog.bit(spec.name)).alias(HIDDEN))
-    places = [own] + [F.struct(route(cols, shards, by).alias(SHARD), F.lit(catalog.key_bit(spec.name, to)).alias(HIDDEN)) for cols, to in spec.fks]
-    out, lists = df.withColumn("__places", F.array(*places)), ["__places"]
-    none = F.array().cast(_PLACES)
-    every = lambda: F.concat(*[F.coalesce(F.col(x).cast(_PLACES), none) for x in lists])
-    itself = []
+    at = [F.coalesce(route(spec.pk, shards, by), F.lit(0)), *[route(cols, shards, by) for cols, _ in spec.fks]]
+    bits = [catalog.bit(spec.name), *[catalog.key_bit(spec.name, to) for _, to in spec.fks]]
+    own = [f"__s{i}" for i in range(len(at))]
+    out, maps, itself = df.withColumns(dict(zip(own, at, strict=True))), [], []
     for i, (other, cols) in enumerate(catalog.referencing(spec.name)):
         if other.name == spec.name:
             itself.append(cols)
@@ -144,23 +142,38 @@ def fragment(
         if not loaded or other.name not in loaded:
             raise ValueError(f"{other.name} refers to {spec.name} and must be loaded first")
         names = [f"__k{i}_{j}" for j in range(len(cols))]
-        out = _joined(out, _index(loaded[other.name], cols, names, f"__places{i}"), names, spec.pk, variant, buckets)
-        lists.append(f"__places{i}")
-    copies = lambda at: at.withColumn("__at", F.explode(F.col("__all"))).select(*df.columns, F.col(f"__at.{SHARD}").alias(SHARD), F.col(f"__at.{HIDDEN}").alias(HIDDEN))
-    out = out.select(*df.columns, _merged(every()).alias("__all"))
+        out = _joined(out, _index(loaded[other.name], cols, names, f"__m{i}"), names, spec.pk, variant, buckets)
+        maps.append(f"__m{i}")
+    if itself:
+        return _levels(out, df.columns, dict(zip(own, bits, strict=True)), maps, itself, spec, catalog, variant, buckets)
+    # no function of Python's and no lambda: small code, which the JVM compiles
+    none = F.array().cast("array<int>")
+    every = F.array_distinct(F.concat(F.array(*[F.col(n) for n in own]), *[F.coalesce(F.map_keys(m), none) for m in maps]))
+    out = out.withColumn("__at", F.explode(every)).where(F.col("__at").isNotNull())
+    why = [F.when(F.col(n) == F.col("__at"), F.lit(b)).otherwise(F.lit(0)) for n, b in zip(own, bits, strict=True)]
+    why += [F.coalesce(F.col(m)[F.col("__at")], F.lit(0)) for m in maps]
+    return out.select(*df.columns, F.col("__at").alias(SHARD), reduce(Column.bitwiseOR, why).alias(HIDDEN))
+
+
+def _levels(out: DataFrame, columns: list[str], own: dict[str, int], maps: list[str], itself: list, spec: TableSpec, catalog: Catalog, variant: Variant, buckets: int) -> DataFrame:
+    """A table that refers to itself: rows with all their places, joined with their own copies until none is new."""
+    none = F.array().cast(_PLACES)
+    lists = [F.array(*[F.struct(F.col(n).alias(SHARD), F.lit(b).alias(HIDDEN)) for n, b in own.items()])]
+    entries = lambda m: F.coalesce(F.map_entries(m).cast(_PLACES), none)
+    copies = lambda at: at.withColumn("__at", F.explode("__all")).select(*columns, F.col(f"__at.{SHARD}").alias(SHARD), F.col(f"__at.{HIDDEN}").alias(HIDDEN))
+    out = out.select(*columns, F.concat(*lists, *[entries(m) for m in maps]).alias("__every"))
     size = None
-    while itself:  # ends, as a row has no more copies than there are shards, and no more bits than there are tables
-        out = stage(out, "levels")
+    while True:  # ends, as a row has no more copies than there are shards, and no more bits than there are tables
+        out = stage(out.select(*columns, _merged(F.col("__every")).alias("__all")), "levels")
         before, size = size, out.agg(F.sum(F.size("__all")), F.sum(F.aggregate("__all", F.lit(0), lambda a, p: a + F.bit_count(p[HIDDEN])))).first()
         if before == size:
-            break
-        lists, here = ["__all"], copies(out)
+            return copies(out)
+        here, more = copies(out), []
         for j, cols in enumerate(itself):
             names = [f"__k{j}_{x}" for x in range(len(cols))]
             out = _joined(out, _index(here, cols, names, f"__self{j}", catalog.key_bit(spec.name, spec.name, KEPT)), names, spec.pk, variant, buckets)
-            lists.append(f"__self{j}")
-        out = out.select(*df.columns, _merged(every()).alias("__all"))
-    return copies(out)
+            more.append(entries(f"__self{j}"))
+        out = out.select(*columns, F.concat("__all", *more).alias("__every"))
 
 
 def fragment_all(tables: Mapping[str, DataFrame], catalog: Catalog, shards: int, by: str = "xxhash64", variant: str | Variant = Variant.NORMAL) -> dict[str, DataFrame]:
