@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -288,14 +290,30 @@ def _derby() -> str:
     return f"jdbc:derby:memory:d{uuid.uuid4().hex};create=true"
 
 
+@contextmanager
+def _derby_files(spark: SparkSession) -> Iterator[str]:
+    """A database in files, since the driver's memory may not hold it, until the block ends."""
+    with tempfile.TemporaryDirectory(prefix="fragsql-") as folder:
+        yield f"jdbc:derby:{folder}/db;create=true"
+        try:
+            spark._jvm.java.sql.DriverManager.getConnection(f"jdbc:derby:{folder}/db;shutdown=true")
+        except Py4JJavaError as e:
+            if e.java_exception.getSQLState() != "08006":  # Derby's word for done
+                raise
+
+
 def op_database_job(spark: SparkSession, d: str) -> DataFrame:
     """A table of a database mapped, reduced and written to a table of another; the command line runs the same."""
-    source, target = _derby(), _derby()
+    with _derby_files(spark) as source, _derby_files(spark) as target:
+        return _database_job(spark, d, source, target)
+
+
+def _database_job(spark: SparkSession, d: str, source: str, target: str) -> DataFrame:
     csvio.write_jdbc(table(spark, d, "orders").select("o_orderpriority", "o_orderkey"), source, "ORD", replace=False, driver=DERBY)
     conf = ["job", "--url", source, "--query", 'select "o_orderpriority", "o_orderkey" from ORD', "--mapper", "fragsql.operators.jobs:one_for_each", "--combiner", "fragsql.operators.jobs:added_up", "--shuffle", "p string, n bigint"]
     conf += ["--reducer", "fragsql.operators.jobs:added_up", "--schema", "p string, n bigint", "--output", "SUMS", "--output-url", target, "--driver", DERBY]
     cli.main(conf, spark)
-    return csvio.read_jdbc(spark, target, "select * from SUMS", driver=DERBY)
+    return stage(csvio.read_jdbc(spark, target, "select * from SUMS", driver=DERBY), "sums")
 
 
 def op_execute_update(spark: SparkSession, d: str) -> DataFrame:

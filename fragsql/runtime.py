@@ -7,12 +7,14 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows and bytes (of its rows as JSON text) up to which a side may be broadcast once it has been measured.
 BROADCAST_ROWS = 200_000
@@ -36,6 +38,11 @@ def session(app: str = "fragsql", cores: int | str = "*", shuffle_partitions: in
     )
 
 
+def one_process(spark: SparkSession) -> bool:
+    """Whether the session's tasks run in the driver's own process."""
+    return re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir.
 
@@ -43,7 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        if not one_process(spark):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="fragsql-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -67,6 +74,36 @@ def stage(df: DataFrame, name: str = "stage", partition_by: str | None = None) -
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def brief_stage(df: DataFrame, name: str, partition_bytes: int) -> Iterator[DataFrame]:
+    """df staged until the block ends, to be read in partitions of so many bytes at most."""
+    spark = df.sparkSession
+    mine = (spark, f"{shared_dir(spark)}/fragsql-{name}-{uuid.uuid4().hex}")
+    _staged.append(mine)
+    try:
+        df.write.option("compression", "zstd").option("parquet.block.size", partition_bytes).parquet(mine[1])
+        reader = spark.newSession()  # for a setting that others shouldn't get
+        reader.conf.set("spark.sql.files.maxPartitionBytes", partition_bytes)
+        yield reader.read.schema(df.schema).parquet(mine[1])
+    finally:
+        _staged[:] = [x for x in _staged if x != mine]
+        _delete([mine])
+
+
+def stage_in_turn(spark: SparkSession, parts: Iterable[Any], schema: StructType, name: str) -> DataFrame:
+    """All rows of parts of this schema, each part asked for and written once the one before is; there may be none.
+
+    parts are DataFrames of the JVM: Python's own are collected late, and with them all rows that they hold.
+    """
+    path = f"{shared_dir(spark)}/fragsql-{name}-{uuid.uuid4().hex}"
+    _staged.append((spark, path))
+    spark.createDataFrame([], schema).write.parquet(path)
+    for part in parts:
+        part.write().mode("append").option("compression", "zstd").parquet(path)
+        del part
+    return spark.read.schema(schema).parquet(path)
+
+
 def stage_side_by_side(parts: Sequence[DataFrame], name: str, at_once: int) -> DataFrame:
     """All rows of parts of the same columns (by position), each part written by a job of its own, at_once at a time."""
     spark, names, plain = parts[0].sparkSession, parts[0].columns, [f"c{i}" for i in range(len(parts[0].columns))]

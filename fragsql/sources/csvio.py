@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fragsql.runtime import shared_dir
+from fragsql.sources import embedded
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, sep: str = "\t", quote: str = '"', header: bool = False, multi_line: bool = True) -> DataFrame:
@@ -129,13 +130,21 @@ def query_rows(spark: SparkSession, query: str, batch: int = 10_000) -> Iterator
 
 
 def read_jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
-    """A database's query; give partitionColumn, lowerBound, upperBound and numPartitions to read it side by side."""
+    """A database's query; give partitionColumn, lowerBound, upperBound and numPartitions to read it side by side.
+
+    A database within the driver's process is read at once, through the driver, where tasks run in other processes.
+    """
     kind = "dbtable" if "partitionColumn" in options else "query"
     value = f"({query}) q" if kind == "dbtable" else query
-    return spark.read.format("jdbc").option("url", url).option(kind, value).options(**options).load()
+    df = spark.read.format("jdbc").option("url", url).option(kind, value).options(**options).load()
+    return embedded.read(df, url, query, options) if embedded.out_of_reach(spark, url) else df
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, replace: bool = True, **options: str) -> None:
     """Rows into a database table; replace empties it first and keeps its definition."""
-    writer = df.write.format("jdbc").option("url", url).option("dbtable", table).options(**options)
+    away = embedded.out_of_reach(df.sparkSession, url)
+    rows = df.sparkSession.createDataFrame([], df.schema) if away else df  # without rows no task writes, only the driver
+    writer = rows.write.format("jdbc").option("url", url).option("dbtable", table).options(**options)
     (writer.option("truncate", "true").mode("overwrite") if replace else writer.mode("append")).save()
+    if away:
+        embedded.append(df, url, table, options)

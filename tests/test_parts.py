@@ -1,7 +1,11 @@
 """Key-value store, map-reduce, k-means, text in and out, functions, flow language, command line, streams, entry."""
 
+import ast
 import math
+import os
 import random
+import subprocess
+import sys
 from collections import Counter
 
 import pytest
@@ -229,6 +233,48 @@ def test_jdbc(spark):
     assert pairs.count() == 8
 
 
+ON_CLUSTER = """
+import sys
+import __spark_entry__
+from pyspark.sql import SparkSession
+from fragsql.sources import csvio, embedded
+conf = {"spark.master": "local-cluster[2,1,1024]", "spark.checkpoint.dir": "file://" + sys.argv[1] + "/shared", "spark.sql.warehouse.dir": sys.argv[1] + "/warehouse"}
+conf |= {"spark.driver.host": "127.0.0.1", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2", "spark.sql.session.timeZone": "UTC"}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+ops, data = __spark_entry__.queries(), sys.argv[2]
+"""
+
+
+def on_cluster(code, tmp_path, data):
+    """What code prints last in a session whose executors are processes of their own."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = os.environ | {"PYTHONPATH": root, "PYSPARK_PYTHON": sys.executable}
+    done = subprocess.run([sys.executable, "-c", ON_CLUSTER + code + "spark.stop()", str(tmp_path), data], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-3000:]
+    return ast.literal_eval(done.stdout.splitlines()[-1])
+
+
+def test_database_job_beside_executors(data, duck, tmp_path):
+    code = """
+embedded.ROWS = 1000
+jobs = sorted(map(tuple, ops["op_database_job"](spark, data).collect()))
+url, driver = "jdbc:derby:memory:t;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+df = spark.range(2500).selectExpr("id as ID", "if(id % 3 = 0, null, 'n' || id) as NAME", "timestamp_seconds(id) as AT", "cast(id as decimal(9, 2)) as D")
+csvio.write_jdbc(df, url, "T", replace=False, driver=driver)
+spark.conf.set("spark.sql.datetime.java8API.enabled", "true")
+csvio.write_jdbc(df.where("ID < 2000"), url, "T", driver=driver)
+spark.conf.set("spark.sql.datetime.java8API.enabled", "false")
+csvio.write_jdbc(df.where("ID >= 2400"), url, "T", replace=False, driver=driver)
+some = csvio.read_jdbc(spark, url, "select * from T", driver=driver, partitionColumn="ID", lowerBound="0", upperBound="30", numPartitions="3")
+none = csvio.read_jdbc(spark, url, "select ID from T where ID < 0", driver=driver)
+want = df.where("ID < 2000 or ID >= 2400")
+print((jobs, some.count(), some.exceptAll(want).count(), want.exceptAll(some).count(), none.count(), none.columns))
+"""
+    jobs, n, more, fewer, none, columns = on_cluster(code, tmp_path, data)
+    assert jobs == sorted(duck.execute("select o_orderpriority, count(*) from orders group by 1").fetchall())
+    assert (n, more, fewer, none, columns) == (2100, 0, 0, 0, ["ID"])
+
+
 # -- functions --------------------------------------------------------------------------------------------------------
 
 
