@@ -137,7 +137,10 @@ def run_job(spark: SparkSession, conf: JobConf) -> str:
 
 
 def execute_update(spark: SparkSession, url: str, sql: str, driver: str | None = None) -> int:
-    """Run a statement that isn't a query in a database, on the driver; the number of rows it changed, 0 of a definition."""
+    """Run a statement that isn't a query in a database, on the driver; the number of rows it changed, 0 of a definition.
+
+    An embedded database is the one that write_jdbc fills and read_jdbc reads on a cluster too.
+    """
     jvm = spark.sparkContext._jvm
     if driver:
         jvm.java.lang.Class.forName(driver)

@@ -275,6 +275,13 @@ print((jobs, some.count(), some.exceptAll(want).count(), want.exceptAll(some).co
     assert (n, more, fewer, none, columns) == (2100, 0, 0, 0, ["ID"])
 
 
+def test_execute_update_beside_executors(data, tmp_path):
+    code = """
+print([tuple(r) for r in ops["op_execute_update"](spark, data).collect()])
+"""
+    assert on_cluster(code, tmp_path, data) == [("create", 0), ("insert", 5), ("delete", 3)]
+
+
 # -- functions --------------------------------------------------------------------------------------------------------
 
 
